@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, sharding, token_counts
+from . import byte_bpe, exact_dedup, line_dedup, packing, sharding, simhash, token_counts
 
 
 def queries():
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op5_packing": packing.op5_packing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_sharding": sharding.op7_sharding,
+        "op8_simhash": simhash.op8_simhash,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
