@@ -56,10 +56,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; all columns stay."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out
+    """docs without the rows that exact_dedup drops; all columns stay. Of rows equal in id and text one stays."""
+    done = Scratch(docs.sparkSession).table(exact_dedup(docs, id_col, text_col))
+    kept = done.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha256"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.sha2(text_of(text_col).cast("binary"), 256) == F.col("_kept_sha256"))
+    out = docs.join(kept, same, "left_semi")
+    if done.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():
+        return out
+    return out.withColumn("_sha256", F.sha2(text_of(text_col).cast("binary"), 256)).dropDuplicates([id_col, "_sha256"]).drop("_sha256")
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, packing, sharding, simhash, token_counts
+from . import byte_bpe, exact_dedup, line_dedup, packing, sharding, simhash, token_counts, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_sharding": sharding.op7_sharding,
         "op8_simhash": simhash.op8_simhash,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
