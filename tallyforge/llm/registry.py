@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, packing, sharding, simhash, token_counts, toxicity
+from . import byte_bpe, exact_dedup, line_dedup, neighbours, packing, sharding, simhash, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_neighbours": neighbours.op2_neighbours,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op5_packing": packing.op5_packing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
