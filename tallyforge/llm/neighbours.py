@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import graph
 from .common import Scratch, read
 
-K, BEAM, SHARD_ROWS, LEAST_SHARDS, EVERY = 20, 48, 100_000, 16, 20
+K, BEAM, SHARD_ROWS, LEAST_SHARDS, EVERY = 20, 96, 100_000, 16, 20
 INDEX = "shard int, node int, ids array<long>, vec array<double>, links array<int>, entry int"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, neighbours, packing, sharding, simhash, token_counts, toxicity
+from . import byte_bpe, exact_dedup, line_dedup, lm_score, neighbours, packing, sharding, simhash, token_counts, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_neighbours": neighbours.op2_neighbours,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_lm_score": lm_score.op4_lm_score,
         "op5_packing": packing.op5_packing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_sharding": sharding.op7_sharding,
