@@ -18,6 +18,7 @@ import hashlib
 import re
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ def encoder(path: str, pattern: str):
 
 
 def decode(ids: bytes, path: str) -> bytes:
-    return b"".join(map(token_bytes(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return b"".join(map(token_bytes(path).__getitem__, memoryview(ids).cast("I")))
 
 
 def encode_corpus(docs: DataFrame, path: str, pattern: str, result, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,22 +105,15 @@ def encode_corpus(docs: DataFrame, path: str, pattern: str, result, schema: str,
     cut = spans if usual else (lambda text: [text])
 
     def words_of(_, texts):
-        split, seen, out = splitter(pattern, usual), {}, {}
-        for t in texts:
-            seen.update(dict.fromkeys(cut(t)))
-        for s in seen:
-            out.update(dict.fromkeys(split(s)))
-        return out
-
-    def assemble(ids, texts, values):
-        split, known, encoded = splitter(pattern, usual), {}, []
-        for t in texts:
-            parts = cut(t)
-            for s in set(parts):
-                if s not in known:
-                    known[s] = b"".join([values[w] for w in split(s)])
-            encoded.append(b"".join(map(known.__getitem__, parts)))
-        return result(ids, texts, encoded)
+        split = splitter(pattern, usual)
+        parts = [cut(t) for t in texts]
+        seen = {s: split(s) for s in dict.fromkeys(chain.from_iterable(parts))}
+        return dict.fromkeys(chain.from_iterable(seen.values())), (parts, seen)
+
+    def assemble(ids, texts, values, made):
+        parts, seen = made
+        known = {s: b"".join([values[w] for w in words]) for s, words in seen.items()}
+        return result(ids, texts, [b"".join(map(known.__getitem__, p)) for p in parts])
 
     buckets = exchange.buckets_for(docs)
     answers = exchange.answered(exchange.requests(docs, words_of, buckets), lambda: encoder(path, pattern))

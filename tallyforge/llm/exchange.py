@@ -16,6 +16,7 @@ A splitter maps a text to its words; it runs in the workers and must be picklabl
 
 from __future__ import annotations
 
+import gc
 import pickle
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -45,25 +46,28 @@ def unpack(x: bytes):
 def buckets_for(docs: DataFrame) -> int:
     """Buckets from the table's size in bytes, as the optimizer estimates it: vocabularies grow more slowly than texts."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(8192, 64 + 16 * (min(size, 1 << 60) / 1e9) ** 0.6))
+    if size > 1 << 58:  # not known
+        return 256
+    return int(min(8192, 64 + 16 * (size / 1e9) ** 0.6))
 
 
 def chunked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bytes, list, list[str]]]:
     """(key, ids, texts) of each chunk."""
+    gc.disable()  # the worker holds many strings and no cycles: walking them costs more than the rest
     ids, texts, size = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if ids and (size + len(t) > CHUNK_BYTES or len(ids) >= CHUNK_DOCS):
-                yield _key(ids, texts), ids, texts
+                yield key_of(ids, texts), ids, texts
                 ids, texts, size = [], [], 0
             ids.append(i)
             texts.append(t)
             size += len(t)
     if ids:
-        yield _key(ids, texts), ids, texts
+        yield key_of(ids, texts), ids, texts
 
 
-def _key(ids: list, texts: list[str]) -> bytes:
+def key_of(ids: list, texts: list[str]) -> bytes:
     h = xxhash.xxh3_128(repr(ids).encode())
     for t in texts:
         b = t.encode("utf-8", "surrogatepass")
@@ -72,17 +76,13 @@ def _key(ids: list, texts: list[str]) -> bytes:
     return h.digest()
 
 
-def dealt(words: Iterable[str], buckets: int) -> dict[int, list[str]]:
+def dealt(words: Iterable[str | bytes], buckets: int) -> dict[int, list]:
     """Distinct words by bucket, in their order: the request and the assembly both derive this order."""
-    out: dict[int, list[str]] = {}
+    lists: list[list] = [[] for _ in range(buckets)]
     crc = zlib.crc32
     for w in dict.fromkeys(words):
-        k = crc(w.encode("utf-8", "surrogatepass")) % buckets
-        if k in out:
-            out[k].append(w)
-        else:
-            out[k] = [w]
-    return out
+        lists[crc(w if type(w) is bytes else w.encode("utf-8", "surrogatepass")) % buckets].append(w)
+    return {k: x for k, x in enumerate(lists) if x}
 
 
 def rows(data: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
@@ -94,20 +94,24 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
 
-def requests(docs: DataFrame, words_of: Callable[[list, list[str]], dict], buckets: int) -> DataFrame:
-    """words_of(ids, texts): the chunk's words, each with what the bucket shall know of it (or None)."""
+def requests(docs: DataFrame, words_of: Callable, buckets: int) -> DataFrame:
+    """asked(), dealt by bucket."""
+    return asked(docs, words_of, buckets).repartition(min(buckets, max(width(docs), 8)), "bucket")
+
+
+def asked(docs: DataFrame, words_of: Callable[[list, list[str]], tuple[dict, object]], buckets: int) -> DataFrame:
+    """words_of(ids, texts): (the chunk's words, each with what the bucket shall know of it or None; anything for assembled())."""
 
     def run(batches):
         for key, ids, texts in chunked(batches):
-            known = words_of(ids, texts)
+            known = words_of(ids, texts)[0]
             out = []
             for k, words in dealt(known, buckets).items():
                 extra = [known[w] for w in words]
                 out.append((k, key, pack((words, extra if any(x is not None for x in extra) else None))))
             yield rows(out or [(0, key, pack(([], None)))])
 
-    asked = docs.mapInArrow(run, REQUEST)
-    return asked.repartition(min(buckets, max(width(docs), 8)), "bucket")
+    return docs.mapInArrow(run, REQUEST)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -120,10 +124,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, REQUEST)
 
 
-def answered(asked: DataFrame, value: Callable) -> DataFrame:
+def answered(dealt_out: DataFrame, value: Callable) -> DataFrame:
     """value(): made once in each task; gives a function from a word to its value, which is called once a word."""
 
     def run(batches):
+        gc.disable()
         of, known = value(), {}
         for batch in batches:
             for k, key, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -133,24 +138,26 @@ def answered(asked: DataFrame, value: Callable) -> DataFrame:
                         known[w] = of(w)
                 yield rows([(k, key, pack([known[w] for w in words]))])
 
-    return asked.mapInArrow(run, REQUEST)
+    return dealt_out.mapInArrow(run, REQUEST)
 
 
 def assembled(docs_texts: DataFrame, answers: DataFrame, buckets: int, words_of: Callable, result: Callable, schema: str) -> DataFrame:
-    """result(ids, texts, values): a pyarrow RecordBatch for a chunk; values: the value of each of its words."""
+    """result(ids, texts, values, made): a pyarrow RecordBatch for a chunk; values: the value of each of its words; made:
+    what words_of gave besides."""
 
     def run(batches):
+        gc.disable()
         key, held, got = None, [], {}
 
         def done():
             for body in held:
                 ids, texts = unpack(body)
-                values = {}
-                for k, words in dealt(words_of(ids, texts), buckets).items():
+                values, (words, made) = {}, words_of(ids, texts)
+                for k, words in dealt(words, buckets).items():
                     if k not in got:
                         raise RuntimeError("a chunk lacks answers: the input must give the same rows in the same order when it is read again")
                     values.update(zip(words, unpack(got[k]), strict=True))
-                yield result(ids, texts, values)
+                yield result(ids, texts, values, made)
 
         for batch in batches:
             for k, c, payload in zip(*(x.to_pylist() for x in batch.columns), strict=True):

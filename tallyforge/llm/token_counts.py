@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,13 +82,11 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, id_col: str =
         return docs.mapInArrow(whole, schema)
 
     def words_of(_, texts):
-        out = {}
-        for t in texts:
-            out.update(dict.fromkeys(pre_tokens(t)))
-        return out
+        counts = [Counter(pre_tokens(t)) for t in texts]
+        return dict.fromkeys(chain.from_iterable(counts)), counts
 
-    def result(ids, texts, pieces):
-        return batch(ids, texts, [sum(n * pieces[w] for w, n in Counter(pre_tokens(t)).items()) for t in texts])
+    def result(ids, texts, pieces, counts):
+        return batch(ids, texts, [sum([n * pieces[w] for w, n in c.items()]) for c in counts])
 
     buckets = exchange.buckets_for(docs)
     answers = exchange.answered(exchange.requests(docs, words_of, buckets), lambda: piece_counter(model))
