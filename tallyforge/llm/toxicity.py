@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the character n-grams of the lower-cased text (windows of its UTF-8 bytes), hashed into 2**bits buckets;
-what counts is whether a text has one. For each bucket the labelled training texts of either class that have it are
+Features are the character n-grams of the lower-cased text, windows of its UTF-8 bytes after every run of other signs than
+letters has become one blank. They are hashed into 2**bits buckets; what counts is whether a text has one. For each bucket the labelled training texts of either class that have it are
 counted over all of them, which gives its log-count ratio r = log((p + 1) / (P + 1) / ((q + 1) / (Q + 1))). Buckets whose
 ratio stands out from its sampling error by `least_z` are kept, at most `features` of them. A logistic regression is
 fitted on these features, each scaled by its ratio, on a bounded sample of the training texts: the `sample` texts of
@@ -17,6 +17,8 @@ toxic labels (0.5 without labels). Repeated rows each give a row. Empty table: e
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,15 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import read, text_of
 
-ORDERS, BITS, FEATURES, LEAST_Z, SAMPLE, RIDGE, THRESHOLD = (4, 5), 20, 1 << 16, 3.0, 4096, 0.3, 0.7
+ORDERS, BITS, FEATURES, LEAST_Z, SAMPLE, RIDGE, THRESHOLD = (4, 5, 6), 20, 1 << 16, 3.5, 2048, 0.1, 0.7
 _SECTIONS = 16
+_GAPS = re.compile(r"[\W\d_]+")
 #: Label rows up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def buckets(text: str, orders=ORDERS, bits: int = BITS) -> np.ndarray:
     """The bucket of each n-gram of the text, of each order in turn."""
-    data = text.lower().encode("utf-8", "surrogatepass")
+    data = f" {_GAPS.sub(' ', text.lower())} ".encode("utf-8", "surrogatepass")
     b = np.frombuffer(data, np.uint8).astype(np.uint32)
     h, out = np.zeros(len(b), np.uint32), []
     for n in range(1, max(orders) + 1):
@@ -107,18 +110,22 @@ def ratios(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int, features: int, leas
 
 def fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, ridge: float, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights of the ratio-scaled features and the intercept: logistic loss, both classes weighed alike, ridge penalty."""
-    n = len(rows)
-    index, row = np.concatenate(rows), np.repeat(np.arange(n), [len(x) for x in rows])
+    n, index = len(rows), np.concatenate(rows)
+    lengths = np.array([len(x) for x in rows])
+    some = np.flatnonzero(lengths)  # texts without any feature only meet the intercept
+    starts = (np.cumsum(lengths) - lengths)[some]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    w, b, scale = np.zeros(len(r)), 0.0, r[index]
-    v, vb, t = w.copy(), b, 1.0
-    # a bound of the loss's curvature gives the step
-    norm = np.bincount(row, scale**2, n) + 1
-    step = 1 / (0.25 * float((weight * norm).sum()) + ridge / n)
+    scale = r[index].astype(np.float32)
+    w, b, v, vb, t = np.zeros(len(r)), 0.0, np.zeros(len(r)), 0.0, 1.0
+    norm = np.ones(n)
+    norm[some] += np.add.reduceat(scale * scale, starts) if len(some) else 0
+    step = 1 / (0.25 * float((weight * norm).sum()) + ridge / n)  # from a bound of the loss's curvature
     for _ in range(steps):  # accelerated gradient
-        z = np.bincount(row, scale * v[index], n) + vb
+        z = np.full(n, vb)
+        if len(some):
+            z[some] += np.add.reduceat(scale * v.astype(np.float32)[index], starts)
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gw = np.bincount(index, scale * g[row], len(r)) + ridge / n * v
+        gw = np.bincount(index, scale * np.repeat(g.astype(np.float32), lengths), len(r)) + ridge / n * v
         w2, b2 = v - step * gw, vb - step * g.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
@@ -148,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, orders=ORDERS, bits: int = BITS, f
 
     def present(batches):
         for b in batches:
-            found = [(lambda x: np.unique(x[x >= 0]))(sent.value[buckets(t, orders, bits)]) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
+            found = [(lambda x: np.unique(x[x >= 0]).tobytes())(sent.value[buckets(t, orders, bits)]) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.binary())], ["toxic", "found"])
 
     hashed = rows.withColumn("h", F.xxhash64("doc_id"))
     chosen, y = [], []
@@ -158,9 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, orders=ORDERS, bits: int = BITS, f
         if n > sample:
             last = own.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
             own = own.filter(F.col("h") <= last)
-        for r_ in own.select("text", "toxic").mapInArrow(present, "toxic int, found array<int>").limit(sample).toArrow().to_pylist():
-            chosen.append(np.array(r_["found"], np.int64))
-            y.append(kind)
+        found = own.select("text", "toxic").mapInArrow(present, "toxic int, found binary").limit(sample).toArrow().column("found")
+        chosen += [np.frombuffer(x.as_buffer(), np.int32) for x in found]
+        y += [kind] * len(found)
     w, b = fit(chosen, np.array(y), r, ridge)
     weights[kept] = w * r
     return weights, float(b)
