@@ -68,7 +68,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     counted = w.groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     last = F.when(F.col("w") > 0, bins - 1).otherwise(0)
     spine = bounds.filter("lo IS NOT NULL").withColumn("w", (F.col("hi") - F.col("lo")) / bins)
-    spine = spine.select(F.explode(F.sequence(F.lit(0), last)).cast("long").alias("bin"), F.col("lo").alias("low"), "w", F.col("hi").alias("high"))
+    spine = spine.select(F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("bin"), F.col("lo").alias("low"), "w", F.col("hi").alias("high"))
     hi = F.when((F.col("bin") == bins - 1) | (F.col("w") == 0), F.col("high")).otherwise(F.col("low") + (F.col("bin") + 1) * F.col("w"))
     return spine.join(counted, "bin", "left").select("bin", (F.col("low") + F.col("bin") * F.col("w")).alias("lo"), hi.alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
 
