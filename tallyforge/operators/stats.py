@@ -42,16 +42,16 @@ def average_rank(value: str, partition: list[str]) -> Column:
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, n, pearson, spearman of each pair of columns, over the rows where both have a value."""
-    order = {c: k for k, c in enumerate(columns)}
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), finite(a).alias("x"), finite(b).alias("y")) for a, b in combinations(columns, 2)]
-    schema = "a string, b string, i int, j int"
-    spine = df.sparkSession.createDataFrame([(a, b, order[a], order[b]) for a, b in combinations(columns, 2)], schema)
+    pairs = [(k, a, b, columns.index(a), columns.index(b)) for k, (a, b) in enumerate(combinations(columns, 2))]
+    spine = df.sparkSession.createDataFrame(pairs, "k int, a string, b string, i int, j int")
     if not pairs:
         return spine.select("a", "b", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("pearson"), F.lit(None).cast("double").alias("spearman"))
-    rows = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    # the pairs are a fixed table that meets each row by number: an expression for each pair would make plans of thousands
+    wide = df.select(F.array(*[finite(c) for c in columns]).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("k"))
+    rows = wide.join(F.broadcast(spine), "k").select("a", "b", F.col("v")[F.col("i")].alias("x"), F.col("v")[F.col("j")].alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
     ranked = rows.withColumn("rx", average_rank("x", ["a", "b"])).withColumn("ry", average_rank("y", ["a", "b"]))
     out = ranked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), _guarded(F.col("x"), F.col("y")).alias("pearson"), _guarded(F.col("rx"), F.col("ry")).alias("spearman"))
-    return spine.join(out, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "pearson", "spearman", "i", "j").drop("i", "j")
+    return spine.join(out, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "pearson", "spearman")
 
 
 def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
@@ -59,18 +59,23 @@ def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataF
     return rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), _guarded(F.col("x"), F.col("y")).alias("pearson"))
 
 
-def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """bin, lo, hi, n: equal widths from least to largest, the largest in the last bin; one bin if they are equal."""
-    v = df.select(finite(column).alias("v")).filter("v IS NOT NULL")
-    bounds = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    w = v.join(F.broadcast(bounds)).withColumn("w", (F.col("hi") - F.col("lo")) / bins)
-    k = F.when(F.col("w") > 0, F.least(F.floor((F.col("v") - F.col("lo")) / F.when(F.col("w") > 0, F.col("w"))), F.lit(bins - 1))).otherwise(0).cast("long")
-    counted = w.groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    last = F.when(F.col("w") > 0, bins - 1).otherwise(0)
-    spine = bounds.filter("lo IS NOT NULL").withColumn("w", (F.col("hi") - F.col("lo")) / bins)
-    spine = spine.select(F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("bin"), F.col("lo").alias("low"), "w", F.col("hi").alias("high"))
+def histograms(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
+    """metric, bin, lo, hi, n: equal widths from least to largest, the largest in the last bin; one bin if they are equal.
+    Metrics without a value have no bins."""
+    v = _long(df, columns, []).filter("value IS NOT NULL")
+    bounds = v.groupBy("metric").agg(F.min("value").alias("low"), F.max("value").alias("high")).withColumn("w", (F.col("high") - F.col("low")) / bins)
+    rows = v.join(F.broadcast(bounds), "metric")  # a row for each column
+    k = F.when(F.col("w") > 0, F.least(F.floor(F.try_divide(F.col("value") - F.col("low"), F.col("w"))), F.lit(bins - 1))).otherwise(0).cast("long")
+    counted = rows.groupBy("metric", k.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    last = F.when(F.col("w") > 0, bins - 1).otherwise(0).cast("long")
+    spine = bounds.select("metric", "low", "high", "w", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bin"))
     hi = F.when((F.col("bin") == bins - 1) | (F.col("w") == 0), F.col("high")).otherwise(F.col("low") + (F.col("bin") + 1) * F.col("w"))
-    return spine.join(counted, "bin", "left").select("bin", (F.col("low") + F.col("bin") * F.col("w")).alias("lo"), hi.alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+    return spine.join(counted, ["metric", "bin"], "left").select("metric", "bin", (F.col("low") + F.col("bin") * F.col("w")).alias("lo"), hi.alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
+    """bin, lo, hi, n of one column."""
+    return histograms(df, [column], bins).drop("metric")
 
 
 def medians_by_language(df: DataFrame, columns: list[str], languages: list[str], by: str = "language") -> DataFrame:

@@ -43,11 +43,10 @@ def to_html(spark, made: dict) -> str:
     if languages:
         med = {r["metric"]: r for r in stats.medians_by_language(units, columns, languages).collect()}
         parts.append("<h2>Medians of files</h2>" + table(["metric", *languages], [[m, *[shown(med[registry.column(m)][x]) for x in languages]] for m in ids]))
-        figures = []
-        for m, c in zip(ids, columns, strict=True):
-            bins = sorted((r.asDict() for r in stats.histogram(units, c, BINS).collect()), key=lambda b: b["bin"])
-            if bins:
-                figures.append(bars(m, bins))
+        every: dict[str, list] = {}
+        for b in sorted((r.asDict() for r in stats.histograms(units, columns, BINS).collect()), key=lambda b: b["bin"]):
+            every.setdefault(b["metric"], []).append(b)
+        figures = [bars(m, every[c]) for m, c in zip(ids, columns, strict=True) if c in every]
         parts.append("<h2>Distributions over files</h2>" + "".join(figures))
         rho = {(r["a"], r["b"]): r["spearman"] for r in stats.correlations(units, columns).collect()}
         cell = 9
