@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+ROWS_PER_FILE = 500_000
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage: a lost executor costs a reread, not a recomputation."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.kept = 0, []
         atexit.register(self.drop)
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """Writes df now; returns it as read from what was written."""
+    def table(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Writes df now; returns it as read from what was written. rows: a bound of its rows, if known; few rows go to
+        few files."""
+        if rows is not None:
+            df = df.coalesce(min(width(df), 1 + rows // ROWS_PER_FILE))
         self.n += 1
         path = f"{self.root}/{self.n}"
         schema = df.schema
@@ -51,6 +58,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A step between tables that is read several times: kept by the executors, remade from the tables before if one is
+        lost. Not for loops, whose plans would grow."""
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.kept.append(df)
+        return df
+
     def drop(self, df: DataFrame | None = None) -> None:
         """Deletes one table, or all of them."""
         path = self.root if df is None else getattr(df, "_scratch_path", None)

@@ -32,10 +32,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while now[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = star(both, 2 * now[0], lambda d: d.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
-        large = scratch.table(canonical(large))
+        large = scratch.table(canonical(large), now[0])
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         small = star(down, now[0], lambda d: d.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(d.select(F.col("u").alias("a"), F.col("m").alias("b"))))
-        after = scratch.table(canonical(small))
+        after = scratch.table(canonical(small), 2 * now[0])
         scratch.drop(large)
         scratch.drop(e)
         e, was, now = after, now, state(after)

@@ -149,13 +149,13 @@ def near_dedup(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, cr
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable)."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(fingerprints(docs, words, id_col, text_col))
-    nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
+    nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
     n, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     choices = masks(blocks_for(n, distance), distance)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(choices)]))
     keyed = nodes.select("fp", keys.alias("k")).select("k.t", "k.v", "fp")
     heavy = keyed.groupBy("t", "v").count().filter(F.col("count") > max(crowd, n // HEAVY)).select("t", "v")
-    heavy = scratch.table(heavy)  # fewer than HEAVY rows for each choice
+    heavy = scratch.keep(heavy)  # fewer than HEAVY rows for each choice
     if heavy.isEmpty():
         light, direct = keyed, None
     else:
@@ -167,12 +167,12 @@ def near_dedup(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, cr
     if direct is not None:
         crowded = crowded.unionByName(direct).distinct()
     edges = links.filter("b IS NOT NULL")
-    crowded = scratch.table(crowded)
+    crowded = scratch.keep(crowded)
     if not crowded.isEmpty():
         edges = edges.unionByName(hubs(crowded, distance))
     roots = components(edges, scratch)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", "copies", F.coalesce("root", "fp").alias("root"))
-    named = scratch.table(named)
+    named = scratch.keep(named)
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     named = attach(named.select("fp", "copies", "root"), ids, "root", n, "members").select("fp", "copies", "component_id")
     out = attach(rows, named, "fp", total, "copies")
