@@ -124,6 +124,16 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 7)
 
 
+class _Hashes(dict):
+    """Hashes of words; remembers the first ones it meets."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = _hash(word)
+        if len(self) < 500_000:
+            self[word] = h
+        return h
+
+
 def _combined(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(h, kind="stable")
     h, n = h[order], n[order]
@@ -135,12 +145,12 @@ def filter_parts(docs: DataFrame, groups: int, bits: int, hashes: int, folds: in
     """bucket, chunk (empty), payload: the bitmap of each group of word pairs."""
 
     def count(batches):
-        known: dict[bytes, int] = {}
+        hash_of = _Hashes().__getitem__
         held, size = [], 0
 
         def flush():
-            h, n = _combined(*(lambda x: (x, np.ones(len(x), np.int64)))(np.concatenate(held)))
-            group = (h % np.uint64(groups)).astype(np.int64)
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            group = (h % np.uint64(groups)).astype(np.uint16)
             order = np.argsort(group, kind="stable")
             cuts = np.searchsorted(group[order], np.arange(groups + 1))
             out = []
@@ -155,15 +165,7 @@ def filter_parts(docs: DataFrame, groups: int, bits: int, hashes: int, folds: in
                 if is_held_out(i, folds, fold):
                     continue
                 own = words(text)
-                for w in own:
-                    if w not in known:
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[w] = _hash(w)
-                try:
-                    h = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
-                except KeyError:  # the memory was cleared within this text
-                    h = np.fromiter(map(_hash, own), np.uint64, len(own))
+                h = np.fromiter(map(hash_of, own), np.uint64, len(own))
                 held.append(pairs(np.concatenate(([_END], h)), np.concatenate((h, [_END]))))
                 size += len(own) + 1
                 if size >= FLUSH:
@@ -248,6 +250,11 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, mu: float =
         known.update(counts)
         return known, split
 
+    def same_words(_, texts):
+        """The words alone, in the same order."""
+        split = [words(t) for t in texts]
+        return dict.fromkeys(chain.from_iterable(split)), split
+
     asked = scratch.table(exchange.asked(docs, words_of, buckets))
     totals = scratch.table(word_totals(asked.repartition(parts, "bucket")))
     train_docs = docs.filter(~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))).count()
@@ -303,7 +310,7 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, mu: float =
                 names += ["_chunk", "_place"]
             return pa.RecordBatch.from_arrays(columns, names)
 
-        return exchange.assembled(texts, answers, buckets, words_of, result, schema + ", _chunk binary, _place int" * (len(slices) > 1))
+        return exchange.assembled(texts, answers, buckets, same_words, result, schema + ", _chunk binary, _place int" * (len(slices) > 1))
 
     if len(slices) == 1:
         return scored(slices[0], True)
