@@ -83,3 +83,14 @@ def test_line_dedup(spark):
     want |= {(60, "", 1, 0, "null host"), (61, "", 0, 0, ""), (62, "big.example", 0, 0, "")}
     assert got == want
     assert line_dedup.line_dedup(pages.limit(0)).count() == 0
+
+
+def test_attach_meets_heavy_and_light_keys(spark, monkeypatch):
+    from tallyforge.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 4)
+    keys = [1] * 50 + [2] * 30 + [3, 4, 4, None, 9]
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int")
+    right = spark.createDataFrame([(k, keys.count(k), f"v{k}") for k in (1, 2, 3, 4)], "k long, n long, v string")
+    got = {(r.k, r.i, r.v) for r in common.attach(left, right, "k", len(keys), "n").collect()}
+    assert got == {(k, i, f"v{k}" if k in (1, 2, 3, 4) else None) for i, k in enumerate(keys)}
