@@ -19,6 +19,8 @@ def session():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)  # one machine: as many as it runs at once
     return spark
 
 

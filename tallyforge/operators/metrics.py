@@ -139,6 +139,8 @@ def tokens_by_project(f: Facts) -> DataFrame:
 
 def line_rows(f: Facts) -> DataFrame:
     """A row for each line of a file (and each line a token claims): what it holds."""
+    if f.lines is not None:
+        return f.lines
     lines = F.split(F.regexp_replace("content", r"\n\z", ""), "\n")
     spine = f.files.filter("content <> ''").select(*FILE, F.posexplode(lines).alias("pos", "text"))
     spine = spine.select(*FILE, (F.col("pos") + 1).alias("line"), F.lit(1).alias("there"), (F.regexp_replace("text", r"(?U)\s", "") != "").cast("int").alias("solid"), F.lit(0).alias("code"), F.lit(0).alias("token"))

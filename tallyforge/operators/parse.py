@@ -62,6 +62,7 @@ class Facts:
     nodes: DataFrame
     tokens: DataFrame
     functions: DataFrame
+    lines: DataFrame | None = None  # what metrics.line_rows() gives, where it is kept
 
 
 def facts(parsed: DataFrame) -> Facts:

@@ -50,7 +50,10 @@ class Result:
         self.projects.createOrReplaceTempView(f"{prefix}_projects")
 
 
-def from_facts(f: Facts, parsed: DataFrame, projects: DataFrame | None = None, info: dict | None = None) -> Result:
+def from_facts(f: Facts, parsed: DataFrame, projects: DataFrame | None = None, info: dict | None = None, keep: bool = True) -> Result:
+    """keep: lines, which all scopes read, are kept in the session's storage."""
+    if keep:
+        f.lines = metrics.line_rows(f).persist()
     return Result(parsed.select("project", "path", "language", "status", "error"), metrics.by_function(f), metrics.by_file(f), metrics.by_project(f, projects), info or {})
 
 
@@ -63,7 +66,7 @@ def analyze_table(table: DataFrame, store: str | None = None) -> Result:
         parsed = table.sparkSession.read.parquet(store)
     else:
         parsed = parsed.persist()
-    return from_facts(facts(parsed), parsed, table)
+    return from_facts(facts(parsed), parsed, table, keep=store is None)
 
 
 def analyze(spark: SparkSession, path: str, project: str | None = None) -> Result:
