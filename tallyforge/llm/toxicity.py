@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import read, text_of
 
-ORDERS, BITS, FEATURES, LEAST_Z, SAMPLE, RIDGE, THRESHOLD = (4, 5, 6), 20, 1 << 16, 3.5, 2048, 0.1, 0.7
+ORDERS, BITS, FEATURES, LEAST_Z, SAMPLE, RIDGE, THRESHOLD = (4, 5, 6), 20, 1 << 14, 3.5, 2048, 0.1, 0.7
 _SECTIONS = 16
 _GAPS = re.compile(r"[\W\d_]+")
 #: Label rows up to which they are broadcast; more are joined by a shuffle.
