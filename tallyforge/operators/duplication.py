@@ -16,10 +16,6 @@ WINDOW = 50
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def normalised(kind: str, text: str) -> str:
-    return "$id" if kind == "identifier" else "$lit" if kind == "literal" else text
-
-
 def window_hashes(words: list[str], window: int = WINDOW) -> np.ndarray:
     """The two hashes of each window of words, as rows of signed longs."""
     n = len(words) - window + 1
@@ -35,17 +31,31 @@ def window_hashes(words: list[str], window: int = WINDOW) -> np.ndarray:
     return out.view(np.int64)
 
 
-def windows(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
-    """project, path, start, h1, h2, in_file (how often the window occurs in its file)."""
-    code = tokens.filter("kind <> 'comment'").groupBy("project", "path").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "text"))).alias("t"))
+def occurrences(h: np.ndarray) -> np.ndarray:
+    """How often each row of h occurs in it."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    group = np.concatenate(([0], np.cumsum((h[order[1:]] != h[order[:-1]]).any(axis=1))))
+    out = np.empty(len(h), np.int64)
+    out[order] = np.bincount(group)[group]
+    return out
+
+
+def windows(tokens: DataFrame, window: int = WINDOW, repeated: bool = False) -> DataFrame:
+    """project, path, start, h1, h2, in_file (how often the window occurs in its file); repeated: only where that is over 1."""
+    word = F.when(F.col("kind") == "identifier", "$id").when(F.col("kind") == "literal", "$lit").otherwise(F.col("text"))
+    code = tokens.filter("kind <> 'comment'").groupBy("project", "path").agg(F.sort_array(F.collect_list(F.struct("pos", word.alias("w")))).alias("t"))
+    code = code.filter(F.size("t") >= window).select("project", "path", F.transform("t", lambda x: x["w"]).alias("t"))
 
     def run(batches):
         for b in batches:
             for project, path, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = window_hashes([normalised(x["kind"], x["text"]) for x in t], window)
-                _, inverse, n = np.unique(h, axis=0, return_inverse=True, return_counts=True) if len(h) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+                h = window_hashes(t, window)
+                n = occurrences(h)
+                start = np.flatnonzero(n > 1) if repeated else np.arange(len(h))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([project] * len(h), pa.string()), pa.array([path] * len(h), pa.string()), pa.array(np.arange(len(h), dtype=np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n[inverse.ravel()].astype(np.int64))],
+                    [pa.array([project] * len(start), pa.string()), pa.array([path] * len(start), pa.string()), pa.array(start.astype(np.int64)), pa.array(h[start, 0]), pa.array(h[start, 1]), pa.array(n[start])],
                     ["project", "path", "start", "h1", "h2", "in_file"],
                 )
 
@@ -67,7 +77,7 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def by_file(tokens: DataFrame) -> DataFrame:
-    return _named(runs(windows(tokens).filter("in_file > 1")))
+    return _named(runs(windows(tokens, repeated=True)))
 
 
 def by_project(tokens: DataFrame) -> DataFrame:
