@@ -3,7 +3,8 @@
 Features are the character n-grams of the lower-cased text, windows of its UTF-8 bytes after every run of other signs than
 letters has become one blank. They are hashed into 2**bits buckets; what counts is whether a text has one. For each bucket the labelled training texts of either class that have it are
 counted over all of them, which gives its log-count ratio r = log((p + 1) / (P + 1) / ((q + 1) / (Q + 1))). Buckets whose
-ratio stands out from its sampling error by `least_z` are kept, at most `features` of them. A logistic regression is
+ratio stands out from its sampling error by `least_z` are kept, all of them; the number of buckets grows with the bytes
+of the training texts, from 2**20 to 2**24. A logistic regression is
 fitted on these features, each scaled by its ratio, on a bounded sample of the training texts: the `sample` texts of
 each class with the least hash of their id. Every text is then scored whole.
 
@@ -28,7 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import read, text_of
 
-ORDERS, BITS, FEATURES, LEAST_Z, SAMPLE, RIDGE, THRESHOLD = (4, 5, 6), 20, 1 << 14, 3.5, 2048, 0.1, 0.7
+ORDERS, BITS, MOST_BITS, LEAST_Z, SAMPLE, RIDGE, THRESHOLD = (4, 5, 6), 20, 24, 3.5, 2048, 0.1, 0.7
+#: Training bytes for each bucket, between BITS and MOST_BITS.
+BUCKET_BYTES = 64
+#: Features of the sample that a step of the fit looks at together.
+_TOGETHER = 1 << 20
 _SECTIONS = 16
 _GAPS = re.compile(r"[\W\d_]+")
 #: Label rows up to which they are broadcast; more are joined by a shuffle.
@@ -49,6 +54,11 @@ def buckets(text: str, orders=ORDERS, bits: int = BITS) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def bits_for(size: int) -> int:
+    """Bits of a bucket for training texts of so many bytes."""
+    return min(MOST_BITS, max(BITS, (size // BUCKET_BYTES).bit_length()))
+
+
 def once(found: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Each bucket of found once; seen: a scratch array with a place for every bucket."""
     at = np.arange(len(found))
@@ -73,7 +83,7 @@ def class_counts(train: DataFrame, bits: int, orders) -> DataFrame:
     schema, size = "section int, counts binary", 1 << bits
 
     def count(batches):
-        counts, n, seen = np.zeros((2, size), np.int64), np.zeros(2, np.int64), np.zeros(size, np.int64)
+        counts, n, seen = np.zeros((2, size), np.int32), np.zeros(2, np.int64), np.zeros(size, np.int64)
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 counts[y, once(buckets(text, orders, bits), seen)] += 1
@@ -83,7 +93,7 @@ def class_counts(train: DataFrame, bits: int, orders) -> DataFrame:
 
     def out(parts):
         z = zstandard.ZstdCompressor(level=1)
-        return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([z.compress(np.ascontiguousarray(x).tobytes()) for x in parts])], ["section", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([z.compress(np.ascontiguousarray(x, np.int64).tobytes()) for x in parts])], ["section", "counts"])
 
     def add(batches):
         total = {}
@@ -98,34 +108,37 @@ def class_counts(train: DataFrame, bits: int, orders) -> DataFrame:
     return train.select("text", "toxic").mapInArrow(count, schema).repartition(_SECTIONS + 1, "section").mapInArrow(add, schema)
 
 
-def ratios(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int, features: int, least_z: float) -> tuple[np.ndarray, np.ndarray]:
+def ratios(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int, least_z: float) -> tuple[np.ndarray, np.ndarray]:
     """The kept buckets and their log-count ratios."""
     r = np.log((p + 1) / (n_p + 1)) - np.log((q + 1) / (n_q + 1))
     z = np.abs(r) / np.sqrt(1 / (p + 1) + 1 / (q + 1))
     kept = np.flatnonzero(z >= least_z)
-    if len(kept) > features:
-        kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[:features]])
     return kept, r[kept]
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, ridge: float, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights of the ratio-scaled features and the intercept: logistic loss, both classes weighed alike, ridge penalty."""
-    n, index = len(rows), np.concatenate(rows)
-    lengths = np.array([len(x) for x in rows])
-    some = np.flatnonzero(lengths)  # texts without any feature only meet the intercept
-    starts = (np.cumsum(lengths) - lengths)[some]
+    n, lengths = len(rows), np.array([len(x) for x in rows])
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    scale = r[index].astype(np.float32)
+    r32, parts = r.astype(np.float32), []
+    some = np.flatnonzero(lengths)  # texts without any feature only meet the intercept
+    for own in np.split(some, np.flatnonzero(np.diff(np.cumsum(lengths[some]) // _TOGETHER)) + 1):
+        if len(own):
+            parts.append((own, lengths[own], np.cumsum(lengths[own]) - lengths[own], np.concatenate([rows[i] for i in own])))
     w, b, v, vb, t = np.zeros(len(r)), 0.0, np.zeros(len(r)), 0.0, 1.0
     norm = np.ones(n)
-    norm[some] += np.add.reduceat(scale * scale, starts) if len(some) else 0
+    for own, _, starts, index in parts:
+        norm[own] += np.add.reduceat(r32[index] ** 2, starts)
     step = 1 / (0.25 * float((weight * norm).sum()) + ridge / n)  # from a bound of the loss's curvature
     for _ in range(steps):  # accelerated gradient
-        z = np.full(n, vb)
-        if len(some):
-            z[some] += np.add.reduceat(scale * v.astype(np.float32)[index], starts)
+        rv, z = (r * v).astype(np.float32), np.full(n, vb)
+        for own, _, starts, index in parts:
+            z[own] += np.add.reduceat(rv[index], starts)
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gw = np.bincount(index, scale * np.repeat(g.astype(np.float32), lengths), len(r)) + ridge / n * v
+        gw = np.zeros(len(r))
+        for own, many, _, index in parts:
+            gw += np.bincount(index, np.repeat(g[own], many), len(r))
+        gw = r * gw + ridge / n * v
         w2, b2 = v - step * gw, vb - step * g.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
@@ -133,20 +146,26 @@ def fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, ridge: float, step
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, orders=ORDERS, bits: int = BITS, features: int = FEATURES, least_z: float = LEAST_Z, sample: int = SAMPLE, ridge: float = RIDGE, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, intercept)."""
+def train(docs: DataFrame, labels: DataFrame, orders=ORDERS, bits: int | None = None, least_z: float = LEAST_Z, sample: int = SAMPLE, ridge: float = RIDGE, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> tuple[np.ndarray, float]:
+    """(weight of each bucket, intercept). bits: by default as many as the training texts ask for."""
     rows = labelled(docs, labels, id_col, text_col, broadcast_rows)
+    if bits is None:
+        bits = bits_for(rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
     unpack = lambda x: np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x)), np.int64)
-    sections = {r.section: unpack(r.counts) for r in class_counts(rows, bits, orders).collect()}  # 2**bits pairs
+    sections = {r.section: bytes(r.counts) for r in class_counts(rows, bits, orders).collect()}  # 2**bits pairs
     weights = np.zeros(1 << bits, np.float32)
     if not sections:
         return weights, 0.0
-    n_q, n_p = (int(x) for x in sections[_SECTIONS])
+    n_q, n_p = (int(x) for x in unpack(sections[_SECTIONS]))
     if not n_p or not n_q:
         share = (n_p + 1) / (n_p + n_q + 2)
         return weights, float(np.log(share / (1 - share)))
-    q, p = np.concatenate([sections[k].reshape(2, -1) for k in range(_SECTIONS)], axis=1)
-    kept, r = ratios(p, q, n_p, n_q, features, least_z)
+    found = []
+    for k in range(_SECTIONS):
+        q, p = unpack(sections.pop(k)).reshape(2, -1)
+        at, own = ratios(p, q, n_p, n_q, least_z)
+        found.append((at + k * len(p), own))
+    kept, r = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(kept):
         return weights, float(np.log(n_p / n_q))
     place = np.full(1 << bits, -1, np.int32)
@@ -173,9 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, orders=ORDERS, bits: int = BITS, f
     return weights, float(b)
 
 
-def scorer(spark, model: tuple[np.ndarray, float], orders=ORDERS, bits: int = BITS):
+def scorer(spark, model: tuple[np.ndarray, float], orders=ORDERS):
     """A function from a text column to the column of its scores."""
-    sent = spark.sparkContext.broadcast(model)
+    sent, bits = spark.sparkContext.broadcast(model), len(model[0]).bit_length() - 1
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
@@ -194,7 +213,7 @@ def scorer(spark, model: tuple[np.ndarray, float], orders=ORDERS, bits: int = BI
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted."""
-    score = scorer(docs.sparkSession, train(docs, labels, id_col=id_col, text_col=text_col, **how), how.get("orders", ORDERS), how.get("bits", BITS))
+    score = scorer(docs.sparkSession, train(docs, labels, id_col=id_col, text_col=text_col, **how), how.get("orders", ORDERS))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score(text_of(text_col)).alias("score"))
     return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 

@@ -61,3 +61,27 @@ def test_without_labels_or_rows(tables, spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     one = toxicity.toxicity(docs, labels.filter("toxic = 1")).collect()
     assert len({r.score for r in one}) == 1 and one[0].score > 0.5
+
+
+def test_every_significant_ngram_is_kept():
+    """No cap on features drops n-grams that stand out; buckets grow with the training texts."""
+    import numpy as np
+
+    n = 1 << 17
+    p, q = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    p[:40_000], q[60_000:] = 130, 400
+    kept, r = toxicity.ratios(p, q, 50_000, 400_000, toxicity.LEAST_Z)
+    assert {*range(40_000)} <= {*kept.tolist()} and len(r) == len(kept)
+    assert [toxicity.bits_for(x) for x in (0, 1 << 25, 232_000_000, 1 << 40)] == [20, 20, 22, 24]
+
+
+def test_fit_in_parts_is_the_fit_at_once(monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    rows = [np.unique(rnd.integers(0, 50, rnd.integers(0, 20))).astype(np.int32) for _ in range(80)]
+    y, r = np.arange(80) % 2, rnd.normal(size=50)
+    whole = toxicity.fit(rows, y, r, 0.1)
+    monkeypatch.setattr(toxicity, "_TOGETHER", 30)
+    parts = toxicity.fit(rows, y, r, 0.1)
+    assert np.allclose(whole[0], parts[0], atol=1e-4) and abs(whole[1] - parts[1]) < 1e-4
