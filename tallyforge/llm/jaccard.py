@@ -1,0 +1,146 @@
+"""Near-dedup by the similarity of word shingles: min-hash bands for candidates, the exact Jaccard similarity to decide.
+
+A text is the set of its shingles of `words` lower-cased (A-Z) words; one with fewer words is a single shingle. Its BANDS
+keys of ROWS min-hashes each are such that two texts of similarity 0.8 share a key with probability
+1 - (1 - 0.8**ROWS)**BANDS = 0.9998. Every candidate pair is checked on the whole sets. Equal sets are one node from the
+start.
+
+Within a key the nodes are in an order that is another for each band: first each is paired with the key's first node, then
+with the `window` nodes before it, unless the first links have joined the two already. Keys of up to window + 2 nodes so
+have all their pairs looked at, and the pairs grow with the nodes, not with their square. Known limit: in a larger key,
+a pair further apart than `window` is looked at only if another of the bands' orders brings it together.
+
+Nulls: a null text is empty; all empty texts are one node. A null id has a component as any other row; the component's id is
+the least that isn't null. Repeated rows each give a row. Empty table: empty result. Other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch, attach, text_of, width
+from .components import components
+
+WORDS, SIMILARITY, BANDS, ROWS, WINDOW = 5, 0.8, 16, 4, 32
+_MULTIPLY = np.random.default_rng(17).integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = np.random.default_rng(18).integers(0, 2**63, (BANDS * ROWS, 1), np.uint64)
+_SLICE = 1 << 12
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The hashes of the text's shingles, each once, in order."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    joined, h = b" ".join(parts), xxhash.xxh64_intdigest
+    if len(parts) <= words:
+        return np.array([h(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    starts = np.concatenate(([0], ends[:-words])).tolist()
+    ends = (ends[words - 1 :] - 1).tolist()
+    return np.unique(np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(ends)))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """The key of each band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(found), _SLICE):
+        least = np.minimum(least, (found[i : i + _SLICE] * _MULTIPLY + _ADD).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), 3) for b in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _node(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 5)).view(np.int64))
+
+
+def _pairs(keyed: DataFrame, window: int) -> DataFrame:
+    """a, b, first: candidate pairs. keyed: sorted by t, v and the key's order within its partitions."""
+
+    def run(batches):
+        key, head, before = None, None, []
+        for rb in batches:
+            out = []
+            for t, v, fp in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                if (t, v) != key:
+                    key, head, before = (t, v), fp, []
+                else:
+                    out.append((head, fp, True))
+                    out += [(x, fp, False) for x in before]
+                    before = [*before, fp][-window:]
+            a, b, first = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(first, pa.bool_())], ["a", "b", "first"])
+
+    return keyed.mapInArrow(run, "a long, b long, first boolean")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similar: float, text_col: str, scratch: Scratch) -> DataFrame:
+    """a, b: the pairs whose sets are at least so similar."""
+    pairs = scratch.table(pairs)
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    places = ends.join(rows.groupBy("fp").agg(F.min("place").alias("place")), "fp").select("fp", "n", "place")
+
+    def of(batches):
+        for b in batches:
+            for fp, n, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = shingles(text, words)
+                if _node(found) == fp:  # else another text of this place
+                    yield pa.RecordBatch.from_arrays([pa.array([fp]), pa.array([n]), pa.array([found.tobytes()])], ["fp", "n", "found"])
+
+    texts = docs.select(text_of(text_col).alias("text")).withColumn("place", F.xxhash64("text"))
+    sets = texts.join(places, "place").select("fp", "n", "text").mapInArrow(of, "fp long, n long, found binary").dropDuplicates(["fp"])
+    sets = scratch.table(sets)
+    total = pairs.count()
+
+    def check(batches):
+        for rb in batches:
+            whole = [np.frombuffer(x.as_buffer(), np.uint64) for x in rb.column(2)], [np.frombuffer(x.as_buffer(), np.uint64) for x in rb.column(3)]
+            near = pa.array([similarity(x, y) >= similar for x, y in zip(*whole, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([rb.column(0).filter(near), rb.column(1).filter(near)], ["a", "b"])
+
+    both = attach(pairs, sets.select(F.col("fp").alias("a"), "n", F.col("found").alias("own")), "a", total, "n").drop("n")
+    both = attach(both, sets.select(F.col("fp").alias("b"), "n", F.col("found").alias("other")), "b", total, "n")
+    return scratch.table(both.select("a", "b", "own", "other").mapInArrow(check, "a long, b long"))
+
+
+def near_dedup(docs: DataFrame, words: int = WORDS, similar: float = SIMILARITY, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, component_id (the least doc_id reachable over pairs at least so similar)."""
+    scratch = Scratch(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            found = [shingles(t, words) for t in b.column(2).to_pylist()]
+            keys = pa.array([bands(x) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(x) for x in found], pa.int64()), keys], ["doc_id", "place", "fp", "bands"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("place"), text_of(text_col).alias("text"))
+    rows = scratch.table(rows.mapInArrow(run, "doc_id long, place long, fp long, bands array<long>"))
+    nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
+    n, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    keyed = nodes.select("fp", F.posexplode("bands").alias("t", "v")).select("t", "v", "fp")
+    keyed = keyed.repartition(width(docs), "t", "v").sortWithinPartitions("t", "v", F.xxhash64("t", "fp"))
+    pairs = scratch.table(_pairs(keyed, window).groupBy("a", "b").agg(F.max("first").alias("first")))
+    links = _similar(pairs.filter("first").select("a", "b"), rows, docs, words, similar, text_col, scratch)
+    roots = components(links, scratch)
+    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    apart = pairs.filter("not first").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    links = links.unionByName(_similar(apart, rows, docs, words, similar, text_col, scratch))
+    roots = components(links, scratch)
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", "copies", F.coalesce("root", "fp").alias("root"))
+    named = scratch.keep(named)
+    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = attach(named.select("fp", "copies", "root"), ids, "root", n, "members").select("fp", "copies", "component_id")
+    return attach(rows.select("doc_id", "fp"), named, "fp", total, "copies").select("doc_id", "component_id")
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document, the least id, of each component; all columns stay."""
+    kept = near_dedup(docs, id_col=id_col, text_col=text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")

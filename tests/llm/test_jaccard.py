@@ -1,0 +1,69 @@
+"""The pipeline's near-dedup against brute force over all pairs."""
+
+import random
+
+import corpus_pipeline
+from tallyforge.llm import jaccard
+
+
+def brute(text, words=5):
+    parts = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
+
+
+def components(rows, similar=0.8):
+    sets = [brute(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similar * len(sets[i] | sets[j]) - 1e-9:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted((d, least[find(i)]) for i, (d, _) in enumerate(rows))
+
+
+def corpus(seed=5, groups=60, copies=3):
+    """Groups of texts whose copies have similarities of about 0.6 to 1."""
+    rnd, rows = random.Random(seed), []
+    vocab = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(3000)]
+    for _ in range(groups):
+        base = rnd.choices(vocab, k=rnd.randint(100, 300))
+        for k in range(copies):
+            copy = list(base)
+            for _ in range(rnd.randint(0, len(base) // 40) if k else 0):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocab)
+            rows.append((len(rows), " ".join(copy)))
+    return [*rows, (len(rows), None), (len(rows) + 1, "few words"), (len(rows) + 2, "FEW Words")]
+
+
+def test_equal_to_all_pairs(spark):
+    rows = corpus()
+    got = sorted(map(tuple, jaccard.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    assert got == components(rows)
+
+
+def test_crowded_keys(spark):
+    """One group of many near copies, more than a key's window."""
+    rows = corpus(9, groups=2, copies=90)
+    got = sorted(map(tuple, jaccard.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == components(rows)
+
+
+def test_stage_drops_near_copies(spark, tmp_path):
+    """Pairs of similarity 0.8 and more go, whatever their fingerprints' distance."""
+    rows = corpus(3, groups=40, copies=2)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = {r.doc_id for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert kept == {d for d, c in components(rows) if d == c}
+
+
+def test_empty_table(spark):
+    assert jaccard.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
