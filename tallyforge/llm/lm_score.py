@@ -13,6 +13,8 @@ for its distinct words, and the task of a bucket of words knows their counts in
     p1(w)     = (c(w) + 1) / (N + V + 1)
     p(w | h)  = (min(c~(h w), c(h)) + mu * p1(w)) / (c(h) + mu)          c~: the filter's count
 
+A pair is never more frequent than either of its words, so its level is at most that of min(c(h), c(w)).
+
 A document is its words and then one end, which is a token; the end is also what precedes the first word. `score` is the
 sum of log10 p, `base_score` that of log10 p1.
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from . import exchange
 from .common import Scratch, read, width
 
-FOLDS, FOLD, MU, BITS, HASHES, MAX_BYTES = 7, 2, 20.0, 6, 3, 64 << 20
+FOLDS, FOLD, MU, BITS, HASHES, MAX_BYTES = 7, 2, 20.0, 12, 8, 64 << 20
 #: Pairs that a task gathers before it combines them.
 FLUSH = 1 << 22
 _END = np.uint64(xxhash.xxh64_intdigest(b"end of text", 7))
@@ -91,12 +93,15 @@ class Filter:
             at += 8 * len(parts[k])
         self.data = np.frombuffer(b"".join(parts[k] for k in sorted(parts)), np.uint8)
 
-    def level(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(level of each pair, whether its group is in this slice)."""
+    def level(self, h: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(level of each pair, whether its group is in this slice). most: the level that each pair can have at most."""
         group = (h % np.uint64(self.groups)).astype(np.int64)
         bits, offset = self.bits[group], self.offset[group]
         out, live, level = np.zeros(len(h), np.int64), np.flatnonzero(bits > 0), 1
-        while len(live) and level < 64:
+        while level < 64:
+            live = live if most is None else live[most[live] >= level]
+            if not len(live):
+                break
             for probe in range(self.hashes):  # what one probe rules out isn't probed again
                 if probe == 0:
                     ok, start = live, _start(h[live], level)
@@ -293,7 +298,8 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, mu: float =
             after[inner] = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(inner.sum()))
             before = np.concatenate(([0], after[:-1]))
             before[starts] = 0
-            level, here = sent.value.level(pairs(h[before], h[after]))
+            most = np.minimum(c[before], c[after])
+            level, here = sent.value.level(pairs(h[before], h[after]), np.where(most > 0, levels(np.maximum(most, 1)), 0))
             p1 = (c[after] + 1) / (n + v + 1)
             if first:  # it also has the groups that hold no pair
                 here |= empty[(pairs(h[before], h[after]) % np.uint64(buckets)).astype(np.int64)]

@@ -96,3 +96,22 @@ def test_filter_never_loses_a_level():
     assert here.all() and (found >= level).all() and (found > level).mean() < 0.12
     strange, _ = f.level(rnd.integers(0, 2**63, 5000, dtype=np.uint64))
     assert (strange > 0).mean() < 0.12
+
+
+def test_default_filter_seldom_finds_what_is_not_there():
+    rnd = np.random.default_rng(6)
+    h, n = rnd.integers(0, 2**63, 20000, dtype=np.uint64), rnd.integers(1, 50, 20000)
+    f = lm_score.Filter(1, {0: lm_score._bitmap(h, lm_score.levels(n), lm_score.BITS, lm_score.HASHES)}, lm_score.HASHES)
+    strange = rnd.integers(0, 2**63, 20000, dtype=np.uint64)
+    assert (f.level(strange)[0] > 0).mean() < 0.01
+    assert not f.level(h, np.zeros(len(h), np.int64))[0].any()
+    assert (f.level(h, lm_score.levels(n))[0] == lm_score.levels(n)).all()
+
+
+def test_unknown_words_never_make_a_known_pair(spark):
+    """Even a filter that says yes to half of all pairs gives words never seen in training no count."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(60)]
+    got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), bits=1, hashes=1).collect()
+    want = {r[0]: r[6] for r in brute(rows)}
+    held = [r for r in got if r.held_out]
+    assert held and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in held)
