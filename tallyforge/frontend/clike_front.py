@@ -810,11 +810,11 @@ class Parser:
                 k = self.i
                 self.take()
                 self.close()
-                kids.append(self.node("catch", k, self.block()) if False else self._catch(k))
+                kids.append(self._wrap("catch", k))
             if self.at("finally"):
                 k = self.i
                 self.take()
-                kids.append(self.node("other", k, self.block()) if False else self._wrap("other", k))
+                kids.append(self._wrap("other", k))
             return self.node("other", first, *kids)
         if s == "synchronized" and self.peek().text == "(":
             self.take()
@@ -856,10 +856,6 @@ class Parser:
         self.want(";")
         return self.node("statement", first, value)
 
-    def _catch(self, k: int) -> Node:
-        body = self.block()
-        return self.node("catch", k, body)
-
     def _wrap(self, kind: str, k: int) -> Node:
         body = self.block()
         return self.node(kind, k, body)
@@ -1004,7 +1000,8 @@ class Parser:
             if self.toks[k].text == "::" and self.lang == "cpp":
                 k += 1
                 continue
-            if self.toks[k].kind != "identifier":
+            named = self.toks[k].text in _C_TYPES and self.toks[k - 1].text == "::"  # std::size_t
+            if self.toks[k].kind != "identifier" and not named:
                 return False
             k += 1
             if self.toks[k].text == "<" and self.lang != "c":

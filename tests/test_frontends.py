@@ -21,14 +21,12 @@ def kinds(a, fn=None):
 
 @pytest.mark.parametrize("ext", EXTENSIONS)
 def test_the_same_algorithm_counts_alike(ext):
-    path = os.path.join(HERE, f"classify.{ext}")
+    path = os.path.join(HERE, f"collatz.{ext}")
     with open(path, encoding="utf-8") as f:
         a = read(path, f.read())
-    decisions = [sum(kinds(a, k)[x] for x in ("branch", "loop", "case", "catch", "logical", "conditional")) + 1 for k in (0, 1)]
-    assert decisions == [7, 2]
-    assert [f[1] for f in a["functions"]] == ["classify", "max2"]
-    assert all(len(f[2]) == 2 and f[8] == 1 for f in a["functions"])
-    assert [f[9] for f in a["functions"]] == [16.0, 2.0]
+    got = [{k: n for k, n in kinds(a, i).items() if k in ("branch", "else", "loop", "logical", "jump", "return", "call")} for i in range(3)]
+    assert got == [{"loop": 1, "branch": 2, "else": 1, "jump": 1, "return": 1}, {"logical": 2, "return": 1}, {"branch": 1, "return": 2, "call": 1}]
+    assert [(f[1], len(f[2]), f[8], f[9]) for f in a["functions"]] == [("steps_to_one", 2, 2, 5.0), ("inside", 3, 1, 1.0), ("digits", 1, 0, 2.0)]
     assert max(n[10] + 1 for n in a["nodes"] if n[2] in ("branch", "loop") and not n[12]) == 2
     assert kinds(a)["import"] == 1
 
@@ -80,6 +78,11 @@ def test_c_and_cpp():
     assert names(a, 3) == ["v", "k"] and kinds(a)["catch"] == 1 and kinds(a)["logical"] == 1
 
 
+def test_qualified_type_names_in_cpp():
+    a = read("a.cpp", "int f() { std::size_t n = 0; std::int64_t m{1}; return n + m; }\n")
+    assert kinds(a)["declaration"] == 2
+
+
 def test_go():
     a = read("a.go", 'package p\nimport (\n\t"a"\n\tb "c"\n)\ntype T struct{ x int }\nfunc (t *T) f(a, b int, c ...string) (int, error) {\n\tx := map[string]int{"k": 1}\n\tif v, ok := x["k"]; ok && v > 0 {\n\t\treturn T{1}.x, nil\n\t} else if a > b {\n\t\tgo func() { defer t.g() }()\n\t} else {\n\t}\n\tswitch y := any(a).(type) {\n\tcase int, string:\n\t\t_ = y\n\tdefault:\n\t}\n\tfor i := range c {\n\t\ti++\n\t}\n\treturn 0, nil\n}\n')
     assert names(a) == ["t", "a", "b", "c"] and kinds(a)["import"] == 2

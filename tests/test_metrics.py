@@ -55,15 +55,15 @@ def fixtures(spark):
 
 def test_fixtures_agree_across_languages(fixtures):
     f = fixtures.functions.collect()
-    assert len(f) == 16
+    assert len(f) == 24
+    # by hand: cyclomatic, cognitive, depth, paths, parameters, doc lines, fan-out, fan-in, call depth, calls
+    want = {"steps_to_one": (4, 6, 2, 5, 2, 2, 0, 0, 0, 0), "inside": (3, 2, 0, 1, 3, 1, 0, 0, 0, 0), "digits": (2, 2, 1, 2, 1, 0, 1, 8, 0, 1)}
     for r in f:
-        want = {"classify": (7, 8, 2, 16), "max2": (2, 1, 1, 2)}[r["name"]]
-        got = (r.complexity_cyclomatic, r.complexity_cognitive, r.nesting_max_depth, r.complexity_path_count)
-        if r.path.endswith((".go", ".rs")) and r["name"] == "classify":
-            assert got == want
-        else:
-            assert got == want, r
-        assert r.function_parameter_count == 2 and r.documentation_doc_loc == 1
+        got = (
+            r.complexity_cyclomatic, r.complexity_cognitive, r.nesting_max_depth, r.complexity_path_count, r.function_parameter_count, r.documentation_doc_loc,
+            r.dependency_fan_out, r.dependency_fan_in, r.dependency_call_depth, r.function_call_count,
+        )
+        assert got == want[r["name"]], r
 
 
 def test_every_id_is_there_and_nothing_is_an_error(fixtures):
@@ -74,7 +74,7 @@ def test_every_id_is_there_and_nothing_is_an_error(fixtures):
         assert {r.metric for r in rows} == set(registry.ids(scope))
     assert long.filter("value IS NULL AND reason IS NULL AND metric IS NOT NULL").count() == 0
     p = fixtures.projects.first()
-    assert p.size_function_count == 16 and p.dependency_dependency_count == 8 and p.documentation_documentation_ratio == 1
+    assert p.size_function_count == 24 and p.dependency_dependency_count == 8 and p.documentation_documentation_ratio == 16 / 24
 
 
 def test_lines(spark):

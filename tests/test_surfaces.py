@@ -87,23 +87,23 @@ def test_json_csv_html(spark, made):
     assert set(made["files"][0]["metrics"]) == set(registry.ids("L")) and set(made["project"]["metrics"]) == set(registry.ids("P"))
     assert made["run"]["parsers"].keys() == {"c", "cpp", "go", "java", "javascript", "typescript", "python", "rust"}
     lines = output.to_csv(made).splitlines()
-    assert lines[0].split(",") == output.HEADER + registry.IDS and len(lines) == 1 + 1 + 8 + 16
+    assert lines[0].split(",") == output.HEADER + registry.IDS and len(lines) == 1 + 1 + 8 + 24
     assert output.quoted('a"b,c') == '"a""b,c"' and output.number(3.0) == "3" and output.number(None) == ""
     page = html.to_html(spark, made)
-    assert "<script" not in page and "http" not in page and "classify" not in html.escape("<classify>")[:1] and "complexity.cyclomatic" in page
+    assert "<script" not in page and "http" not in page and html.escape("<x>") == "&lt;x&gt;" and "complexity.cyclomatic" in page
 
 
 def test_label_join(spark, made):
     units = output.units(spark, [made, made], "function")
-    got = models.join_labels(units, [], [models.Label("classify.c", "max2", 1.0), models.Label("classify.py", "classify", 2.0)]).orderBy("row_idx").collect()
-    assert [(r.path, r.unit_function, r.result_no) for r in got] == [("classify.c", "max2", 0), ("classify.py", "classify", 0)]
+    got = models.join_labels(units, [], [models.Label("collatz.c", "inside", 1.0), models.Label("collatz.py", "digits", 2.0)]).orderBy("row_idx").collect()
+    assert [(r.path, r.unit_function, r.result_no) for r in got] == [("collatz.c", "inside", 0), ("collatz.py", "digits", 0)]
     with pytest.raises(ValueError, match="not in the results"):
         models.join_labels(units, [], [models.Label("none.c", "f", 1.0)])
     twice = json.loads(json.dumps(made))
     for f in twice["files"]:
         f["functions"] = f["functions"] * 2
     with pytest.raises(ValueError, match="several functions"):
-        models.join_labels(output.units(spark, [twice], "function"), [], [models.Label("classify.c", "max2", 1.0)])
+        models.join_labels(output.units(spark, [twice], "function"), [], [models.Label("collatz.c", "inside", 1.0)])
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -114,7 +114,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert got["units"] == 8 and len(got["correlations"]) == 46 * 45 // 2 and got["metrics"][0]["metric"] == "size.loc"
     assert cli.main(["report", result, "-o", str(tmp_path / "r.html")]) == 0
     labels = tmp_path / "l.csv"
-    labels.write_text("path,function,score\n" + "".join(f"classify.{e},,{k}\n" for k, e in enumerate(["c", "go", "java", "js", "py", "rs"])))
+    labels.write_text("path,function,score\n" + "".join(f"collatz.{e},,{k}\n" for k, e in enumerate(["c", "go", "java", "js", "py", "rs"])))
     assert cli.main(["model", "train", "--labels", str(labels), "--features", "size.loc,size.token_count", "-o", model, result]) == 0
     assert cli.main(["model", "predict", "--model", model, result]) == 0
     got = json.loads(capsys.readouterr().out)
