@@ -25,9 +25,13 @@ def utf8_bytes(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a folder
+    of its own (tests); on a cluster that would be another folder on each machine, so it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -45,11 +49,13 @@ class Scratch:
         self.n, self.kept = 0, []
         atexit.register(self.drop)
 
-    def table(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+    def table(self, df: DataFrame, rows: int | None = None, few: bool = False) -> DataFrame:
         """Writes df now; returns it as read from what was written. rows: a bound of its rows, if known; few rows go to
-        few files."""
+        few files. few: it may have few rows, so its partitions are put together by their size."""
         if rows is not None:
-            df = df.coalesce(min(width(df), 1 + rows // ROWS_PER_FILE))
+            df = df.repartition(min(width(df), 1 + rows // ROWS_PER_FILE))
+        elif few:
+            df = df.hint("rebalance")
         self.n += 1
         path = f"{self.root}/{self.n}"
         schema = df.schema
@@ -108,3 +114,28 @@ def attach(left: DataFrame, right: DataFrame, key: str, rows: int, count: str) -
     value = F.when(F.col("_hk").isNotNull(), F.col("_hv")).otherwise(F.col("_lv"))
     out = out.withColumn("_v", value).drop("_hk", "_hv", "_lk", "_lv", "_jk")
     return out.select(*left.columns, *[F.col("_v")[c].alias(c) for c in payload])
+
+
+def only(docs: DataFrame, won: DataFrame, doc_id: Column, place: Column) -> DataFrame:
+    """One row of docs for each row of won (doc_id, place; unique) that has its id and place; all columns stay.
+
+    doc_id, place: columns over docs. Rows that docs repeats meet in a join of those alone that are repeated.
+    """
+    free = lambda name: next(x for k in range(len(docs.columns) + 1) if (x := f"_{name}{k}") not in {c.lower() for c in docs.columns})
+    i, p, n = free("id"), free("place"), free("n")
+    marked = docs.withColumns({i: doc_id, p: place})
+    keys = marked.groupBy(i, p).agg(F.count(F.lit(1)).alias(n))
+    keys = keys.join(won.select(F.col("doc_id").alias("_won_id"), F.col("place").alias("_won_place")), F.col(i).eqNullSafe(F.col("_won_id")) & (F.col(p) == F.col("_won_place")), "left_semi")
+    keys = Scratch(docs.sparkSession).table(keys)
+
+    def held(rows: DataFrame) -> DataFrame:
+        k = rows.select(F.col(i).alias("_held_id"), F.col(p).alias("_held_place")).alias("_held")
+        m = marked.alias("_marked")
+        on = F.col(f"_marked.{i}").eqNullSafe(F.col("_held._held_id")) & (F.col(f"_marked.{p}") == F.col("_held._held_place"))
+        return m.join(k, on, "left_semi")
+
+    out = held(keys.filter(F.col(n) == 1))
+    again = keys.filter(F.col(n) > 1)
+    if not again.isEmpty():
+        out = out.unionByName(held(again).dropDuplicates([i, p]))
+    return out.drop(i, p)

@@ -11,6 +11,9 @@ from .common import Scratch, attach
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the least node it reaches) for the nodes of edges (a bigint, b bigint).
 
+    Edges may be repeated, stand both ways, and join a node to itself, which leaves it out unless another edge has it; one
+    with a null end is ignored. Without edges the result is empty. Other columns are ignored.
+
     Large and small stars in turn: each node's neighbours are hung on the least of them, first the larger ones, then the
     smaller ones, until nothing changes, which takes logarithmically many rounds. Every round is written to the shared
     folder. A root with very many leaves is joined by the skew-safe attach().
@@ -27,7 +30,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         return keep(attach(pairs, least.withColumn("m", F.least("u", "m")), "u", rows, "n"))
 
-    e = scratch.table(canonical(edges))
+    e = scratch.table(canonical(edges), few=True)
     now = state(e)
     while now[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))

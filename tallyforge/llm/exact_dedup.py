@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, text_of
+from .common import Scratch, attach, only, text_of
 
 SALTS = 16
 
@@ -56,14 +56,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; all columns stay. Of rows equal in id and text one stays."""
-    done = Scratch(docs.sparkSession).table(exact_dedup(docs, id_col, text_col))
-    kept = done.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha256"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.sha2(text_of(text_col).cast("binary"), 256) == F.col("_kept_sha256"))
-    out = docs.join(kept, same, "left_semi")
-    if done.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():
-        return out
-    return out.withColumn("_sha256", F.sha2(text_of(text_col).cast("binary"), 256)).dropDuplicates([id_col, "_sha256"]).drop("_sha256")
+    """docs without the rows that exact_dedup drops; all columns stay, whatever their names. Of rows equal in id and text
+    one stays."""
+    scratch = Scratch(docs.sparkSession)
+    won = exact_dedup(docs, id_col, text_col).filter("kept").select("doc_id", F.unhex("text_sha256").alias("place"))
+    return only(docs, scratch.table(won), F.col(id_col).cast("long"), F.unhex(F.sha2(text_of(text_col).cast("binary"), 256)))
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -91,3 +91,10 @@ def test_forest_joins_what_all_pairs_join():
         for b in fps:
             if bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") <= 4:
                 assert find(int(a)) == find(int(b))
+
+
+def test_odd_distances_with_and_without_hubs(spark):
+    rows = corpus(13)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (1, 4096):
+        assert sorted(map(tuple, simhash.near_dedup(docs, distance=3, crowd=crowd).collect()), key=repr) == classes(rows, 3)
