@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-ROWS_PER_FILE = 500_000
+ROWS_PER_FILE = 200_000
 
 
 class Scratch:
