@@ -345,7 +345,7 @@ def _file_sums(f: Facts) -> DataFrame:
 
 def by_file(f: Facts) -> DataFrame:
     """Every L metric of every file, with its language and error."""
-    out = _zero(_file_sums(f).join(duplication.by_file(f.tokens), FILE, "left"), *DUPLICATES)
+    out = _zero(_file_sums(f).join(duplication.by_file(f.coded()), FILE, "left"), *DUPLICATES)
     out = _ratios(out)
     out = out.withColumn("maintainability_index", maintainability(F.col("halstead_volume"), F.col("complexity_cyclomatic"), F.col("size_sloc")))
     return out.select(*FILE, "language", "line_error", *[registry.column(m) for m in registry.ids("L")])
@@ -358,7 +358,7 @@ def by_project(f: Facts, projects: DataFrame | None = None) -> DataFrame:
     files = _file_sums(f)
     totals = files.groupBy("project").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in most], F.min_by("line_error", F.when(F.col("line_error").isNotNull(), F.col("path"))).alias("line_error"))
     out = projects.select("project").distinct().join(totals, "project", "left") if projects is not None else totals
-    out = out.join(tokens_by_project(f), "project", "left").join(duplication.by_project(f.tokens), "project", "left")
+    out = out.join(tokens_by_project(f), "project", "left").join(duplication.by_project(f.coded()), "project", "left")
     out = _ratios(_zero(out, *sums, "nesting_max_depth", *TOKEN_COUNTS, *DUPLICATES))
     return out.select("project", "line_error", *[registry.column(m) for m in registry.ids("P")])
 

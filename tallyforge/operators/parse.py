@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schema
 from ..frontend import LANGUAGES, ParseError, to_ir
+from . import duplication
 
 
 def with_language(sources: DataFrame) -> DataFrame:
@@ -63,6 +64,10 @@ class Facts:
     tokens: DataFrame
     functions: DataFrame
     lines: DataFrame | None = None  # what metrics.line_rows() gives, where it is kept
+    codes: DataFrame | None = None  # what duplication.codes() gives, where it needs no shuffle
+
+    def coded(self) -> DataFrame:
+        return duplication.codes(self.tokens) if self.codes is None else self.codes
 
 
 def facts(parsed: DataFrame) -> Facts:
@@ -71,4 +76,6 @@ def facts(parsed: DataFrame) -> Facts:
     def rows(column: str) -> DataFrame:
         return ok.select("project", "path", F.explode(column).alias("x")).select("project", "path", "x.*")
 
-    return Facts(ok.select("project", "path", "language", "content"), rows("nodes"), rows("tokens"), rows("functions"))
+    code = F.filter("tokens", lambda x: x["kind"] != "comment")
+    coded = ok.select("project", "path", F.transform(code, lambda x: F.xxhash64(duplication.normalised(x["kind"], x["text"]))).alias("codes"))
+    return Facts(ok.select("project", "path", "language", "content"), rows("nodes"), rows("tokens"), rows("functions"), codes=coded)

@@ -37,6 +37,14 @@ def text_tokens(docs: DataFrame, project=None) -> DataFrame:
     return rows.withColumn("kind", kind)
 
 
+def text_codes(docs: DataFrame, project=None) -> DataFrame:
+    """The same tokens as codes for duplication: one character a token, x for names and 0 for literals, without the gaps."""
+    codes = F.col("text")
+    for pattern, code in (("[A-Za-z_][A-Za-z0-9_]*", "x"), ("[0-9]+", "0"), ("[ \t\r\n]+", "")):
+        codes = F.regexp_replace(codes, pattern, code)
+    return docs.select((project if project is not None else F.lit("documents")).alias("project"), F.col("doc_id").cast("string").alias("path"), codes.alias("codes"))
+
+
 _TOKENS = f"tok AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '{PATTERN}')) AS w FROM documents)"
 _ROLE = """role AS (SELECT *, CASE WHEN regexp_matches(w, '^[A-Za-z_]') OR regexp_matches(w, '^[0-9]') THEN 'operand'
   WHEN w IN ('(', '[', '{') THEN 'operator' WHEN w IN (',', ';', ')', ']', '}') THEN NULL ELSE 'operator' END AS r FROM tok)"""
@@ -137,12 +145,12 @@ def derived_tokens_per_loc(spark, sf_dir):
 
 def dup_by_doc(spark, sf_dir):
     """duplicate tokens, blocks and longest run of documents that have any."""
-    d = duplication.by_file(text_tokens(_table(spark, sf_dir, "documents")))
+    d = duplication.by_file(text_codes(_table(spark, sf_dir, "documents")))
     return d.select(F.col("path").cast("bigint").alias("doc_id"), _whole("duplication_duplicate_token_count", "tokens"), _whole("duplication_duplicate_block_count", "blocks"), _whole("duplication_max_duplicate_length", "longest"))
 
 
 def dup_project(spark, sf_dir):
-    d = duplication.by_project(text_tokens(_table(spark, sf_dir, "documents"), F.col("source")))
+    d = duplication.by_project(text_codes(_table(spark, sf_dir, "documents"), F.col("source")))
     return d.select(F.col("project").alias("source"), _whole("duplication_duplicate_token_count", "tokens"), _whole("duplication_duplicate_block_count", "blocks"), _whole("duplication_max_duplicate_length", "longest"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,7 +182,7 @@ def test_duplication(spark):
             for i, t in enumerate(tokens):
                 t.start = t.end = i
             out.append((p, tree("other"), tokens, " " * 400))
-        return build(spark, out).tokens
+        return build(spark, out).coded()
 
     one = duplication.by_file(of([("a", copy(1, 60) + [Token("keyword", "sep", 0, 0)] + copy(2, 60))])).first()
     assert [one.duplication_duplicate_token_count, one.duplication_duplicate_block_count, one.duplication_max_duplicate_length] == [120, 2, 60]
@@ -195,6 +196,52 @@ def test_duplication(spark):
     assert [p.duplication_duplicate_token_count, p.duplication_duplicate_block_count] == [120, 2]
 
 
+def test_duplication_by_brute_force(spark):
+    """Random files in several projects, in small chunks, with repeated files, as longs and as strings; and from token rows."""
+    rnd, window = random.Random(8), 5
+    base = [rnd.randrange(4) for _ in range(300)]
+    files = []
+    for i in range(60):
+        c = [rnd.randrange(9) for _ in range(rnd.choice([0, 3, 5, 40, 120]))]
+        at = rnd.randrange(200)
+        files.append((f"p{i % 3}" if i % 3 else None, f"f{i}", c + base[at : at + rnd.randrange(60)] if i % 2 else c))
+    files += [("p1", "same", base)] * 3
+    seen, own = {}, {}
+    for p, q, c in files:
+        for i in range(len(c) - window + 1):
+            w = (p, *c[i : i + window])
+            seen[w] = seen.get(w, 0) + 1
+            own[(q, *w)] = own.get((q, *w), 0) + 1
+
+    def measured(p, q, c, count):
+        covered, out = set(), []
+        for i in range(len(c) - window + 1):
+            if count(q, (p, *c[i : i + window])) > 1:
+                covered |= set(range(i, i + window))
+        for i in sorted(covered):
+            if i - 1 not in covered:
+                out.append(0)
+            out[-1] += 1
+        return out
+
+    for kind, code in (("array<long>", list), ("string", lambda c: "".join(chr(97 + x) for x in c))):
+        coded = spark.createDataFrame([(p, q, code(c)) for p, q, c in files], f"project string, path string, codes {kind}").repartition(4)
+        got = sorted((r.path, r.blocks, r.covered, r.longest) for r in duplication.repeated_in_project(coded, window, 100).collect())
+        want = [(q, r) for p, q, c in files if (r := measured(p, q, c, lambda _, w: seen[w]))]
+        assert got == sorted((q, len(r), sum(r), max(r)) for q, r in want)
+        got = {r.path: r.duplication_duplicate_token_count for r in duplication.by_file(coded.filter("path <> 'same'"), window).collect()}
+        assert got == {q: sum(r) for p, q, c in files if q != "same" and (r := measured(p, q, c, lambda q, w: own[(q, *w)]))}
+    rows = [(p, q, i, "operator", str(x)) for p, q, c in files[:-3] for i, x in enumerate(c)]
+    again = duplication.codes(spark.createDataFrame(rows, "project string, path string, pos int, kind string, text string"))
+    got = {r.path: r.covered for r in duplication.repeated_in_project(again, window).collect()}
+    short = {}
+    for p, _, c in files[:-3]:
+        for i in range(len(c) - window + 1):
+            short[(p, *c[i : i + window])] = short.get((p, *c[i : i + window]), 0) + 1
+    assert got == {q: sum(r) for p, q, c in files[:-3] if (r := measured(p, q, c, lambda _, w: short[w]))}
+    assert duplication.by_project(spark.createDataFrame([], "project string, path string, codes array<long>")).count() == 0
+
+
 def test_dependency(spark):
     call = lambda *names: [tree("call", label=n) for n in names]
     root = tree("other", fn("f", *call("g", "h", "h")), fn("g", *call("f", "k")), fn("k"), fn("m", *call("k"), fn(None, *call("f"))), tree("import"), tree("import"))
