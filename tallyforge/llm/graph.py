@@ -9,8 +9,16 @@ DEGREE, BUILD_BEAM, ALPHA, EXPAND, SPARE = 28, 48, 1.2, 4, 8
 _CELLS = 1 << 24
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x over a power of two each, its exponents): the largest component of each lies between 0.5 and 1."""
+    e = np.frexp(np.abs(x).max(axis=1, initial=0))[1]
+    return np.ldexp(x, -e[:, None]), e
+
+
 def lifted(x: np.ndarray) -> np.ndarray:
-    """x with one more coordinate that makes all norms equal: nearest by distance is then largest by inner product."""
+    """x, over a power of two, with one more coordinate that makes all norms equal: nearest by distance is then largest by
+    inner product."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(initial=0))[1])  # squares of any finite numbers stay finite, also as float32
     n = np.einsum("ij,ij->i", x, x)
     return np.concatenate([x, np.sqrt(np.maximum(n.max(initial=0) - n, 0))[:, None]], axis=1).astype(np.float32)
 

@@ -9,6 +9,11 @@ what the beam holds are computed in double precision from the original vectors,
 Equal vectors are one node, which carries the k + 1 least ids: no query needs more of them, and copies can't fill the
 graph. A shard holds about `shard_rows` vectors, so a task's memory is bounded.
 
+A graph compares single-precision distances, so vectors of very different magnitude go to different shards: one for each
+BAND powers of two of the largest component. Shards and queries are scaled by powers of two before the search, so no
+finite numbers overflow. Scores are those of the original vectors; where a sum of products leaves the range of doubles, it
+is what the scaled vectors give (an infinity of the right sign, or zero), and such ties are ranked by the scaled score.
+
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part, nor
 do rows without an id. Ties in score go to the smaller id. Rows repeated in id and vector count once. With fewer
 candidates than k all are returned. Empty table: empty result. Other columns are ignored.
@@ -18,13 +23,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
 from .common import Scratch, read
 
-K, BEAM, SHARD_ROWS, LEAST_SHARDS, EVERY = 20, 96, 100_000, 16, 20
+K, BEAM, SHARD_ROWS, LEAST_SHARDS, EVERY, BAND = 20, 96, 100_000, 16, 20, 8
 INDEX = "shard int, node int, ids array<long>, vec array<double>, links array<int>, entry int"
 
 
@@ -47,9 +52,25 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
 
-def build_index(rows: DataFrame, shards: int, k: int = K, degree: int = graph.DEGREE, beam: int = graph.BUILD_BEAM, alpha: float = graph.ALPHA) -> DataFrame:
+def shards_of(rows: DataFrame, shard_rows: int, least_shards: int) -> tuple[int, Column]:
+    """(number of shards, the column that deals vec into them). A band of magnitudes has shards of its own, as many as its
+    rows ask for; there are at most 2100 / BAND bands."""
+    band = F.floor(F.log2(F.array_max(F.transform("vec", F.abs))) / BAND).cast("int")
+    counts = {r[0]: r[1] for r in rows.groupBy(band.alias("band")).count().collect()}
+    total, first, found = max(1, sum(counts.values())), 0, []
+    for b, n in sorted(counts.items()):
+        own = max(-(-n // shard_rows), -(-n * least_shards // total))
+        found += [F.lit(b), F.struct(F.lit(first).alias("first"), F.lit(own).alias("n"))]
+        first += own
+    if not found:
+        return 1, F.lit(0)
+    own = F.element_at(F.create_map(*found), band)
+    return first, (own["first"] + F.pmod(F.xxhash64("vec"), own["n"])).cast("int")
+
+
+def build_index(rows: DataFrame, shards: int, shard: Column, k: int = K, degree: int = graph.DEGREE, beam: int = graph.BUILD_BEAM, alpha: float = graph.ALPHA) -> DataFrame:
     """The index over rows (as usable() gives them)."""
-    dealt = nodes(rows, k).withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int"))
+    dealt = nodes(rows, k).withColumn("shard", shard)
     dealt = dealt.select("shard", "ids", "vec").repartition(shards, "shard").sortWithinPartitions("shard", "vec")
 
     def run(batches):
@@ -92,18 +113,23 @@ class _Shard:
         for i, x in enumerate(links):
             self.links[i, : len(x)] = x
         self.x = graph.lifted(self.vecs)
-        self.norms = np.einsum("ij,ij->i", self.x, self.x)
         self.entry = table.column("entry")[0].as_py()
 
     def best(self, ids: list[int], q: np.ndarray, k: int, beam: int):
-        """(query's place, vec_id, score) of the k best of each query."""
-        lifted = np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
-        found, _ = graph.search(self.x, self.norms, self.links, self.entry, lifted, beam)
+        """(query's place, vec_id, score, rank among equal scores beyond the range of doubles) of the k best of each query."""
+        small, e = graph.scaled(q)
+        lifted = np.concatenate([small, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+        found, _ = graph.search(self.x, np.zeros(len(self.x), np.float32), self.links, self.entry, lifted, beam)  # all norms are equal
         for i, near in enumerate(found):
             near = near[near >= 0]
-            scores = (self.vecs[near] * q[i]).sum(axis=1)
-            pairs = sorted((-s, v) for s, n in zip(scores.tolist(), near, strict=True) for v in self.ids[n] if v != ids[i])
-            yield from ((i, v, -s) for s, v in pairs[:k])
+            vecs, exponents = graph.scaled(self.vecs[near])
+            scores, far = (vecs * small[i]).sum(axis=1), exponents + e[i]
+            with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+                plain = (self.vecs[near] * q[i]).sum(axis=1)
+                plain = np.where(np.isfinite(plain) & (np.abs(far) < 900), plain, np.ldexp(scores, far))
+                beyond = np.where(np.isinf(plain) | ((plain == 0) & (scores != 0)), np.sign(scores) * np.exp2((np.log2(np.abs(scores)) + far) / 4), 0.0)
+            pairs = sorted((-s, -b, v) for s, b, n in zip(plain.tolist(), beyond.tolist(), near, strict=True) for v in self.ids[n] if v != ids[i])
+            yield from ((i, v, -s, -b) for s, b, v in pairs[:k])
 
 
 def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int = K, beam: int = BEAM) -> DataFrame:
@@ -133,19 +159,19 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int = K,
                 ids, q = [x[0] for x in own.column("ids").to_pylist()], _matrix(own.column("vec").combine_chunks(), np.float64)
                 marks = q.view(np.int64).sum(axis=1).tolist()  # tells queries of one id apart
                 out = list(shard.best(ids, q, k, beam))
-                i, v, score = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.int64()), pa.array([marks[x] for x in i], pa.int64()), pa.array(v, pa.int64()), pa.array(score, pa.float64())], ["query_id", "q", "vec_id", "score"])
+                i, v, score, beyond = zip(*out, strict=True) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.int64()), pa.array([marks[x] for x in i], pa.int64()), pa.array(v, pa.int64()), pa.array(score, pa.float64()), pa.array(beyond, pa.float64())], ["query_id", "q", "vec_id", "score", "beyond"])
 
-    found = both.mapInArrow(run, "query_id long, q long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
+    found = both.mapInArrow(run, "query_id long, q long, vec_id long, score double, beyond double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def nearest(table: DataFrame, every: int = EVERY, k: int = K, beam: int = BEAM, shard_rows: int = SHARD_ROWS, least_shards: int = LEAST_SHARDS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest of each row whose id is divisible by `every`, among all other rows."""
     rows = usable(table, id_col, vec_col)
-    shards = max(least_shards, -(-rows.count() // shard_rows))
-    index = Scratch(table.sparkSession).table(build_index(rows, shards, k))
+    shards, shard = shards_of(rows, shard_rows, least_shards)
+    index = Scratch(table.sparkSession).table(build_index(rows, shards, shard, k))
     return search_index(index, rows.filter(F.col("vec_id") % every == 0), shards, k, max(beam, k + 1))
 
 

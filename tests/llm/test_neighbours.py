@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from tallyforge.llm import neighbours
 
@@ -58,3 +59,35 @@ def test_few_candidates_are_all_returned(spark):
 
 def test_empty_table(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def exact(rows, every=20, k=20):
+    """By exact fractions: no sum overflows."""
+    from fractions import Fraction
+
+    m = {i: [Fraction(x) for x in v] for i, v in rows}
+    return {i: sorted(((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in m.items() if j != i))[:k] for i, q in m.items() if i % every == 0}
+
+
+@pytest.mark.parametrize("scale", ["1e20", "1e160", "1e-160", "mixed"])
+def test_any_finite_magnitude(spark, scale):
+    rnd = random.Random(9)
+    size = (lambda: 10.0 ** rnd.uniform(-200, 200)) if scale == "mixed" else lambda: float(scale)
+    rows = []
+    for i in range(300):
+        s = size()
+        rows.append((i, [s * rnd.gauss(0, 1) for _ in range(6)]))
+    kind = "float" if scale == "1e20" else "double"
+    if kind == "float":
+        rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = {}
+    for r in neighbours.nearest(table).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    want = exact(rows)
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    assert not any(math.isnan(r.score) for x in got.values() for r in x)
+    hits = [len({r.vec_id for r in got[i]} & {j for _, j in best}) for i, best in want.items()]
+    assert sum(hits) >= 0.9 * 20 * len(hits)
+    right = [[r.vec_id for r in got[i]] == [j for _, j in best] for i, best in want.items()]
+    assert sum(right) >= 0.9 * len(right)  # in order too
