@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Out-degree; beam while building; relaxation of the pruning; nodes expanded at a time; spare places for joining strays.
-DEGREE, BUILD_BEAM, ALPHA, EXPAND, SPARE = 28, 48, 1.2, 4, 8
+DEGREE, BUILD_BEAM, ALPHA, EXPAND, SPARE = 32, 96, 1.2, 4, 8
 _CELLS = 1 << 24
 
 

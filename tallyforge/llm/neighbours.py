@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import graph
 from .common import Scratch, read
 
-K, BEAM, SHARD_ROWS, LEAST_SHARDS, EVERY, BAND = 20, 96, 100_000, 16, 20, 8
+K, BEAM, SHARD_ROWS, LEAST_SHARDS, EVERY, BAND = 20, 96, 25_000, 16, 20, 8
 INDEX = "shard int, node int, ids array<long>, vec array<double>, links array<int>, entry int"
 
 
