@@ -3,12 +3,7 @@
 The model is a bigram model learned from the training documents. Counts of word pairs are quantised to levels,
 1 + floor(log2 count), and a pair of level q is put into a Bloom filter q times, as (pair, 1) ... (pair, q). A probe asks
 for (pair, 1), (pair, 2) ... until one is absent; the level reached stands for the mean of the counts it covers. The
-filter has `bits` bits an entry, so its error rate doesn't depend on the corpus. It is broadcast whole while it has at
-most `max_bytes`; a larger one is broadcast in slices of at most that size, one pass over the documents each. A word
-pair lies in one slice, so the slices' sums add up to the same score.
-
-Counts of single words are exact. They come to the documents by the distinct-word exchange: each chunk of documents asks
-for its distinct words, and the task of a bucket of words knows their counts in the whole corpus.
+filter has `bits` bits an entry, so its error rate doesn't depend on the corpus.
 
     p1(w)     = (c(w) + 1) / (N + V + 1)
     p(w | h)  = (min(c~(h w), c(h)) + mu * p1(w)) / (c(h) + mu)          c~: the filter's count
@@ -18,6 +13,12 @@ A pair is never more frequent than either of its words, so its level is at most
 A document is its words and then one end, which is a token; the end is also what precedes the first word. `score` is the
 sum of log10 p, `base_score` that of log10 p1.
 
+The texts are read once. Chunks of documents become numbers of distinct words; the exact counts of these words come by the
+distinct-word exchange. From then on there are only numbers. Pairs are dealt into groups by hash, each with a bitmap of
+its own, and the filter is broadcast in slices of whole groups: at most `max_bytes`, or one group, is on the driver and
+broadcast at a time. A slice's share of the scores is written before the next slice is sent. A pair lies in one slice, so
+the shares add up to the score. There are as many groups as hold the bitmaps to about GROUP_BYTES each.
+
 Nulls: a null text is empty (the end alone); a null id counts as training. Repeated rows each count and each give a row.
 Long texts are a chunk of their own. No training documents: all counts are 0. Empty table: empty result. Other columns
 are ignored.
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import gc
 import zlib
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -40,8 +40,8 @@ from . import exchange
 from .common import Scratch, read, width
 
 FOLDS, FOLD, MU, BITS, HASHES, MAX_BYTES = 7, 2, 20.0, 12, 8, 64 << 20
-#: Pairs that a task gathers before it combines them.
-FLUSH = 1 << 22
+#: Pairs that a task gathers before it combines them; bytes that a group's bitmap is meant to have.
+FLUSH, GROUP_BYTES = 1 << 22, 1 << 20
 _END = np.uint64(xxhash.xxh64_intdigest(b"end of text", 7))
 
 
@@ -129,16 +129,6 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 7)
 
 
-class _Hashes(dict):
-    """Hashes of words; remembers the first ones it meets."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = _hash(word)
-        if len(self) < 500_000:
-            self[word] = h
-        return h
-
-
 def _combined(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(h, kind="stable")
     h, n = h[order], n[order]
@@ -146,11 +136,112 @@ def _combined(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def filter_parts(docs: DataFrame, groups: int, bits: int, hashes: int, folds: int, fold: int) -> DataFrame:
-    """bucket, chunk (empty), payload: the bitmap of each group of word pairs."""
+def numbered(docs: DataFrame, buckets: int, folds: int, fold: int) -> DataFrame:
+    """bucket, chunk, payload, n. Each chunk sends its distinct words to their buckets (the words, their counts in training
+    documents), and as bucket -1 itself: ids, words of each document, the numbers of the words from 1 on in the order in
+    which the buckets have them, and their hashes; n: its training documents."""
+
+    def run(batches):
+        for key, ids, texts in exchange.chunked(batches):
+            split = [words(t) for t in texts]
+            lengths = np.array([len(s) for s in split], np.int64)
+            by_bucket = exchange.dealt(chain.from_iterable(split), buckets)
+            place, out = {}, []
+            for own in by_bucket.values():
+                place.update(zip(own, range(len(place) + 1, len(place) + len(own) + 1), strict=True))
+            numbers = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.uint32, int(lengths.sum()))
+            train = np.array([not is_held_out(i, folds, fold) for i in ids])
+            counts = np.bincount(numbers[np.repeat(train, lengths)], minlength=len(place) + 1)
+            at = 1
+            for k, own in by_bucket.items():
+                out.append((k, key, exchange.pack((own, counts[at : at + len(own)].tolist())), 0))
+                at += len(own)
+            hashes = np.fromiter(map(_hash, place), np.uint64, len(place))
+            small = numbers.astype(np.uint16) if len(place) < 1 << 16 else numbers
+            out.append((-1, key, exchange.pack((ids, train, lengths.astype(np.uint32), small, hashes)), int(train.sum())))
+            b, c, p, n = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.binary()), pa.array(p, pa.binary()), pa.array(n, pa.int64())], ["bucket", "chunk", "payload", "n"])
+
+    return docs.mapInArrow(run, exchange.REQUEST + ", n long")
+
+
+def word_counts(asked: DataFrame, parts: int) -> DataFrame:
+    """bucket, chunk, payload, v, n. Each chunk's words of a bucket answered with their counts in the whole corpus; and a row
+    without a chunk for each bucket: v distinct training words, n training words."""
+
+    def run(batches):
+        bucket, held = None, []
+
+        def row(chunk, payload, v, n):
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.binary()), pa.array([payload], pa.binary()), pa.array([v], pa.int64()), pa.array([n], pa.int64())], ["bucket", "chunk", "payload", "v", "n"])
+
+        def done():
+            total: dict[bytes, int] = {}
+            for _, payload in held:
+                for w, c in zip(*exchange.unpack(payload), strict=True):
+                    total[w] = total.get(w, 0) + c
+            for chunk, payload in held:
+                yield row(chunk, exchange.pack(np.array([total[w] for w in exchange.unpack(payload)[0]], np.int64)), 0, 0)
+            yield row(None, None, sum(c > 0 for c in total.values()), sum(total.values()))
+
+        gc.disable()
+        for b in batches:
+            for k, chunk, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != bucket and held:
+                    yield from done()
+                    held = []
+                bucket = k
+                held.append((chunk, payload))
+        if held:
+            yield from done()
+
+    return asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, exchange.REQUEST + ", v long, n long")
+
+
+def counted(chunks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """payload: ids, training marks, words of each document, numbers, hashes and corpus counts of each chunk."""
+
+    def run(batches):
+        key, held, got = None, [], []
+        for b in batches:
+            for k, chunk, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if chunk != key:
+                    yield from _with_counts(held, got)
+                    key, held, got = chunk, [], []
+                (held if k < 0 else got).append((k, payload))
+        yield from _with_counts(held, got)
+
+    both = chunks.unionByName(answers).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
+    return both.mapInArrow(run, "payload binary")
+
+
+def _with_counts(held: list, got: list):
+    """Rows of a chunk, as often as the table holds it. got: answers, a bucket's as often too."""
+    answers = dict(got)
+    counts = [exchange.unpack(answers[k]) for k in sorted(answers)]
+    for _, payload in held:
+        own = exchange.unpack(payload)
+        body = exchange.pack((*own, np.concatenate([np.zeros(0, np.int64), *counts])))
+        yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["payload"])
+
+
+def tokens_of(lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of what precedes each token, of each token, where each document starts); the end has number 0."""
+    sizes = lengths.astype(np.int64) + 1
+    starts = np.cumsum(sizes) - sizes
+    after = np.zeros(int(sizes.sum()), np.int64)
+    inner = np.ones(len(after), bool)
+    inner[starts + sizes - 1] = False
+    after[inner] = numbers
+    before = np.concatenate(([0], after[:-1]))
+    before[starts] = 0
+    return before, after, starts
+
+
+def filter_parts(chunks: DataFrame, groups: int, bits: int, hashes: int, parts: int) -> DataFrame:
+    """bucket, chunk (empty), payload: the bitmap of each group of word pairs. chunks: as counted() gives them."""
 
     def count(batches):
-        hash_of = _Hashes().__getitem__
         held, size = [], 0
 
         def flush():
@@ -164,19 +255,18 @@ def filter_parts(docs: DataFrame, groups: int, bits: int, hashes: int, folds: in
                 out.append((int(k), b"", exchange.pack((h[own].tobytes(), n[own].astype(np.uint32).tobytes()))))
             return exchange.rows(out)
 
-        gc.disable()
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if is_held_out(i, folds, fold):
-                    continue
-                own = words(text)
-                h = np.fromiter(map(hash_of, own), np.uint64, len(own))
-                held.append(pairs(np.concatenate(([_END], h)), np.concatenate((h, [_END]))))
-                size += len(own) + 1
+            for payload in b.column(0):
+                _, train, lengths, numbers, hashes, _ = exchange.unpack(payload.as_py())
+                before, after, _ = tokens_of(lengths, numbers)
+                h = np.concatenate(([_END], hashes))
+                own = np.repeat(train, lengths.astype(np.int64) + 1)
+                held.append(pairs(h[before[own]], h[after[own]]))
+                size += len(held[-1])
                 if size >= FLUSH:
                     yield flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
     def build(batches):
@@ -187,54 +277,75 @@ def filter_parts(docs: DataFrame, groups: int, bits: int, hashes: int, folds: in
             parts = waiting.pop(k) + ([total[k]] if k in total else [])
             total[k] = _combined(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
+        def made(k):
+            combine(k) if k in waiting else None
+            h, n = total.pop(k)
+            return exchange.rows([(k, b"", _bitmap(h, levels(n), bits, hashes))])
+
+        at = None
         for b in batches:
             for k, payload in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if at is not None and k != at:  # one group at a time
+                    yield made(at)
+                at = k
                 h, n = exchange.unpack(payload)
                 waiting.setdefault(k, []).append((np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64)))
                 if sum(len(p[0]) for p in waiting[k]) > max(FLUSH, len(total[k][0]) if k in total else 0):
                     combine(k)
-        for k in list(waiting):
-            combine(k)
-        for k, (h, n) in total.items():
-            yield exchange.rows([(k, b"", _bitmap(h, levels(n), bits, hashes))])
+        if at is not None:
+            yield made(at)
 
-    counted = docs.mapInArrow(count, exchange.REQUEST).repartition(min(groups, max(width(docs), 8)), "bucket")
-    return counted.mapInArrow(build, exchange.REQUEST)
+    dealt = chunks.mapInArrow(count, exchange.REQUEST).repartition(min(groups, parts), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(build, exchange.REQUEST)
 
 
-def word_totals(asked: DataFrame) -> DataFrame:
-    """bucket, chunk (empty), payload (words, their counts), v (distinct training words), n (training words)."""
+def scored(chunks: DataFrame, model: dict, sent, empty: np.ndarray, first: bool, last: bool) -> DataFrame:
+    """no, share (of the score of each document of a chunk, by one slice of the filter); the last slice also gives ids,
+    held_out, n_tokens, n_known and base."""
+    n, v, mu, train_docs = (model[k] for k in ("n", "v", "mu", "train_docs"))
+    groups = np.uint64(len(empty))
 
     def run(batches):
-        total: dict[int, Counter] = {}
         for b in batches:
-            for k, payload in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                names, counts = exchange.unpack(payload)
-                own = total.setdefault(k, Counter())
-                if counts:
-                    own.update({w: c for w, c in zip(names, counts, strict=True) if c})
-        for k, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b""]), pa.array([exchange.pack((list(own), list(own.values())))]), pa.array([len(own)], pa.int64()), pa.array([sum(own.values())], pa.int64())], ["bucket", "chunk", "payload", "v", "n"])
-
-    return asked.mapInArrow(run, exchange.REQUEST + ", v long, n long")
-
-
-def _answers(asked: DataFrame, totals: DataFrame, parts: int) -> DataFrame:
-    """Each chunk's words answered with their counts."""
-
-    def run(batches):
-        at, known = None, {}
-        for b in batches:
-            for k, chunk, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != at:
-                    at, known = k, {}
-                if not chunk:
-                    known.update(zip(*exchange.unpack(payload), strict=True))
-                else:
-                    yield exchange.rows([(k, chunk, exchange.pack([known.get(w, 0) for w in exchange.unpack(payload)[0]]))])
-
-    both = totals.select("bucket", "chunk", "payload").unionByName(asked).repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
-    return both.mapInArrow(run, exchange.REQUEST)
+            for no, payload in zip(b.column(0), b.column(1), strict=True):
+                ids, train, lengths, numbers, hashes, counts = exchange.unpack(payload.as_py())
+                before, after, starts = tokens_of(lengths, numbers)
+                h, c = np.concatenate(([_END], hashes)), np.concatenate(([train_docs], counts))
+                p1 = (c + 1) / (n + v + 1)  # of each word
+                pair = pairs(h[before], h[after])
+                group = (pair % groups).astype(np.int64)
+                here = np.flatnonzero(sent.value.bits[group] > 0)
+                x, y = before[here], after[here]
+                most = np.minimum(c[x], c[y])
+                level, _ = sent.value.level(pair[here], np.where(most > 0, levels(np.maximum(most, 1)), 0))
+                log = np.zeros(len(pair))
+                log[here] = np.log10((np.minimum(level_count(level), c[x]) + mu * p1[y]) / (c[x] + mu))
+                if first:  # it also has the groups that hold no pair
+                    here = np.flatnonzero(empty[group])
+                    log[here] = np.log10(mu * p1[after[here]] / (c[before[here]] + mu))
+                share = np.add.reduceat(log, starts)
+                columns, names = [pa.array([no.as_py()], pa.int64()), pa.array([share])], ["no", "share"]
+                if last:
+                    known, base = np.add.reduceat(c[after] > 0, starts, dtype=np.int64), np.add.reduceat(np.log10(p1)[after], starts)
+                    columns += [pa.array([ids], pa.list_(pa.int64())), pa.array([~train]), pa.array([lengths.astype(np.int64) + 1]), pa.array([known]), pa.array([base])]
+                    names += ["ids", "held", "sizes", "known", "base"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    more = ", ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>"
+    return chunks.mapInArrow(run, "no long, share array<double>" + more * last)
+
+
+def slices_of(sizes: dict[int, int], max_bytes: int) -> list[list[int]]:
+    """Groups, in order, put together to slices of at most max_bytes, or one group."""
+    slices: list[list[int]] = [[]]
+    room = max_bytes
+    for k in sorted(sizes):
+        if slices[-1] and sizes[k] > room:
+            slices.append([])
+            room = max_bytes
+        slices[-1].append(k)
+        room -= sizes[k]
+    return slices
 
 
 def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, mu: float = MU, bits: int = BITS, hashes: int = HASHES, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,90 +356,45 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, mu: float =
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = exchange.id_and_text(docs, id_col, text_col)
-    buckets = exchange.buckets_for(docs)
-    parts = min(buckets, max(width(docs), 8))
-
-    def words_of(ids, texts):
-        split = [words(t) for t in texts]
-        counts = Counter(chain.from_iterable(s for i, s in zip(ids, split, strict=True) if not is_held_out(i, folds, fold)))
-        known = dict.fromkeys(chain.from_iterable(split), 0)
-        known.update(counts)
-        return known, split
-
-    def same_words(_, texts):
-        """The words alone, in the same order."""
-        split = [words(t) for t in texts]
-        return dict.fromkeys(chain.from_iterable(split)), split
-
-    asked = scratch.table(exchange.asked(docs, words_of, buckets))
-    totals = scratch.table(word_totals(asked.repartition(parts, "bucket")))
-    train_docs = docs.filter(~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))).count()
-    v, n = totals.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    v, n = v + (train_docs > 0), n + train_docs
-    filters = scratch.table(filter_parts(docs, buckets, bits, hashes, folds, fold))
+    buckets, parts = exchange.buckets_for(docs), max(width(docs), 8)
+    made = scratch.table(numbered(docs, buckets, folds, fold))
+    answers = scratch.table(word_counts(made.filter("bucket >= 0").select("bucket", "chunk", "payload"), min(buckets, parts)))
+    v, n = answers.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    train_docs = made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    model = {"n": n + train_docs, "v": v + (train_docs > 0), "mu": mu, "train_docs": train_docs}
+    columns = ["bucket", "chunk", "payload"]
+    chunks = counted(made.filter("bucket < 0").select(*columns), answers.filter("chunk IS NOT NULL").select(*columns), parts)
+    chunks = scratch.table(chunks.select(F.monotonically_increasing_id().alias("no"), "payload"))
+    scratch.drop(made)
+    scratch.drop(answers)
+    groups = int(min(1 << 15, max(64, (model["n"] * bits // 8 // GROUP_BYTES))))
+    filters = scratch.table(filter_parts(chunks.select("payload"), groups, bits, hashes, parts))
     sizes = {r[0]: r[1] for r in filters.select("bucket", F.length("payload")).collect()}  # a row for each of the groups
-    slices: list[list[int]] = [[]]
-    room = max_bytes
-    for k in sorted(sizes):
-        if slices[-1] and sizes[k] > room:
-            slices.append([])
-            room = max_bytes
-        slices[-1].append(k)
-        room -= sizes[k]
-    answers = _answers(asked, totals, parts)
-    if len(slices) > 1:
-        answers = scratch.table(answers)
-    empty = np.array([k not in sizes for k in range(buckets)])
-    texts = exchange.texts(docs)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def scored(ks: list[int], first: bool) -> DataFrame:
+    slices, shares = slices_of(sizes, max_bytes), []
+    empty = np.array([k not in sizes for k in range(groups)])
+    for i, ks in enumerate(slices):
         own = {r.bucket: bytes(r.payload) for r in filters.filter(F.col("bucket").isin(ks)).select("bucket", "payload").collect()} if ks else {}
-        sent = spark.sparkContext.broadcast(Filter(buckets, own, hashes))  # max_bytes, or one group, at most
-
-        def result(ids, texts, values, split):
-            place = {w: i + 1 for i, w in enumerate(values)}
-            h = np.concatenate(([_END], np.fromiter(map(_hash, values), np.uint64, len(values))))
-            c = np.array([train_docs, *values.values()], np.int64)
-            lengths = np.array([len(s) + 1 for s in split], np.int64)
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-            after = np.zeros(int(lengths.sum()), np.int64)
-            inner = np.ones(len(after), bool)
-            inner[starts + lengths - 1] = False
-            after[inner] = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(inner.sum()))
-            before = np.concatenate(([0], after[:-1]))
-            before[starts] = 0
-            most = np.minimum(c[before], c[after])
-            level, here = sent.value.level(pairs(h[before], h[after]), np.where(most > 0, levels(np.maximum(most, 1)), 0))
-            p1 = (c[after] + 1) / (n + v + 1)
-            if first:  # it also has the groups that hold no pair
-                here |= empty[(pairs(h[before], h[after]) % np.uint64(buckets)).astype(np.int64)]
-            p = (np.minimum(level_count(level), c[before]) + mu * p1) / (c[before] + mu)
-            known = np.add.reduceat(c[after] > 0, starts, dtype=np.int64)
-            base = np.add.reduceat(np.log10(p1), starts)
-            score = np.add.reduceat(np.where(here, np.log10(p), 0.0), starts)
-            one = int(first)
-            columns = [pa.array(ids, pa.int64()), pa.array([is_held_out(i, folds, fold) for i in ids]), pa.array(lengths * one), pa.array(known * one), pa.array(np.full(len(ids), n * one, np.int64)), pa.array(base * one), pa.array(score)]
-            names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-            if len(slices) > 1:
-                key = exchange.key_of(ids, texts)
-                columns += [pa.array([key] * len(ids), pa.binary()), pa.array(range(len(ids)), pa.int32())]
-                names += ["_chunk", "_place"]
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        return exchange.assembled(texts, answers, buckets, same_words, result, schema + ", _chunk binary, _place int" * (len(slices) > 1))
-
-    if len(slices) == 1:
-        return scored(slices[0], True)
-    both = scored(slices[0], True)
-    for ks in slices[1:]:
-        both = both.unionByName(scored(ks, False))
-    # a chunk that the table holds several times has several rows at a place and slice, all alike
-    sums = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    copies = F.count(F.lit(1)) / len(slices)
-    one = both.groupBy("_chunk", "_place", "doc_id", "held_out").agg(copies.cast("int").alias("_copies"), *[(F.sum(c) / copies).alias(c) for c in sums])
-    out = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select("doc_id", "held_out", *[F.col(c).cast("long").alias(c) for c in sums[:3]], *sums[3:])
+        sent = spark.sparkContext.broadcast(Filter(groups, own, hashes))  # max_bytes, or one group, at most
+        del own
+        last = i == len(slices) - 1
+        out = scored(chunks, model, sent, empty, i == 0, last)
+        if not last:
+            shares.append(scratch.table(out))
+            sent.destroy()
+    parts_of = [F.col(c) for c in ("ids", "held", "sizes", "known", "base", "share")]
+    if shares:
+        other = shares[0]
+        for x in shares[1:]:
+            other = other.unionByName(x)
+        add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+        other = other.groupBy("no").agg(F.collect_list("share").alias("others"))
+        parts_of[-1] = F.aggregate("others", F.col("share"), add)
+        out = out.join(other, "no")
+    rows = out.select(F.explode(F.arrays_zip(*[c.alias(a) for c, a in zip(parts_of, "abcdef", strict=True)])).alias("x"))
+    return rows.select(
+        F.col("x.a").alias("doc_id"), F.col("x.b").alias("held_out"), F.col("x.c").alias("n_tokens"), F.col("x.d").alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"),
+        F.col("x.e").alias("base_score"), F.col("x.f").alias("score"),
+    )
 
 
 def op4_lm_score(spark, sf_dir):

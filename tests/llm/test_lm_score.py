@@ -63,6 +63,40 @@ def test_equal_to_direct_counts(spark, max_bytes):
     close(lm_score.lm_scores(docs, bits=64, hashes=8, max_bytes=max_bytes).collect(), brute(rows))
 
 
+def test_one_slice_is_live_at_a_time(spark, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.core.broadcast import Broadcast
+
+    live, most, sent = set(), [], []
+    broadcast, destroy = SparkContext.broadcast, Broadcast.destroy
+
+    def made(self, value):
+        b = broadcast(self, value)
+        if isinstance(value, lm_score.Filter):
+            live.add(id(b))
+            sent.append((b, len(value.data)))
+            most.append(len(live))
+        return b
+
+    def gone(self, blocking=False):
+        live.discard(id(self))
+        return destroy(self, blocking)
+
+    monkeypatch.setattr(SparkContext, "broadcast", made)
+    monkeypatch.setattr(Broadcast, "destroy", gone)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    assert lm_score.lm_scores(docs, max_bytes=1 << 13).count() == len(corpus())
+    assert len(sent) > 3 and max(most) == 1 and all(size <= 1 << 13 for _, size in sent)
+
+
+def test_repeated_chunks(spark):
+    """A chunk that the table holds several times gives its rows as often."""
+    rows = [(i, f"a b c{i}") for i in range(20)]
+    at = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs = at.unionByName(at).unionByName(at)
+    close(lm_score.lm_scores(docs, bits=64, hashes=8).collect(), brute(rows * 3))
+
+
 def test_default_filter_is_near_and_beats_the_base(spark):
     """Pairs that follow each other make the model better than single words on held-out rows."""
     rnd = random.Random(8)
