@@ -85,8 +85,8 @@ def test_one_slice_is_live_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(SparkContext, "broadcast", made)
     monkeypatch.setattr(Broadcast, "destroy", gone)
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
-    assert lm_score.lm_scores(docs, max_bytes=1 << 13).count() == len(corpus())
-    assert len(sent) > 3 and max(most) == 1 and all(size <= 1 << 13 for _, size in sent)
+    assert lm_score.lm_scores(docs, max_bytes=1 << 11).count() == len(corpus())
+    assert len(sent) > 3 and max(most) == 1 and all(size <= 1 << 11 for _, size in sent)
 
 
 def test_repeated_chunks(spark):
