@@ -42,6 +42,8 @@ from .common import Scratch, read, width
 FOLDS, FOLD, MU, BITS, HASHES, MAX_BYTES = 7, 2, 20.0, 12, 8, 64 << 20
 #: Pairs that a task gathers before it combines them; bytes that a group's bitmap is meant to have.
 FLUSH, GROUP_BYTES = 1 << 22, 1 << 20
+#: Tokens of a chunk that are scored together.
+PIECE = 1 << 17
 _END = np.uint64(xxhash.xxh64_intdigest(b"end of text", 7))
 
 
@@ -305,29 +307,39 @@ def scored(chunks: DataFrame, model: dict, sent, empty: np.ndarray, first: bool,
     n, v, mu, train_docs = (model[k] for k in ("n", "v", "mu", "train_docs"))
     groups = np.uint64(len(empty))
 
+    def of(words, lengths, numbers):
+        """(share, known tokens, base) of some documents; words: hash, count, level and p1 by number."""
+        h, c, most, p1 = words
+        before, after, starts = tokens_of(lengths, numbers)
+        pair = pairs(h[before], h[after])
+        group = (pair % groups).astype(np.int64)
+        here = np.flatnonzero(sent.value.bits[group] > 0)
+        x, y = before[here], after[here]
+        level, _ = sent.value.level(pair[here], np.minimum(most[x], most[y]))
+        log = np.zeros(len(pair))
+        log[here] = np.log10((np.minimum(level_count(level), c[x]) + mu * p1[y]) / (c[x] + mu))
+        if first:  # it also has the groups that hold no pair
+            here = np.flatnonzero(empty[group])
+            log[here] = np.log10(mu * p1[after[here]] / (c[before[here]] + mu))
+        share = np.add.reduceat(log, starts)
+        if not last:
+            return (share,)
+        return share, np.add.reduceat(c[after] > 0, starts, dtype=np.int64), np.add.reduceat(np.log10(p1)[after], starts)
+
     def run(batches):
         for b in batches:
             for no, payload in zip(b.column(0), b.column(1), strict=True):
                 ids, train, lengths, numbers, hashes, counts = exchange.unpack(payload.as_py())
-                before, after, starts = tokens_of(lengths, numbers)
-                h, c = np.concatenate(([_END], hashes)), np.concatenate(([train_docs], counts))
-                p1 = (c + 1) / (n + v + 1)  # of each word
-                pair = pairs(h[before], h[after])
-                group = (pair % groups).astype(np.int64)
-                here = np.flatnonzero(sent.value.bits[group] > 0)
-                x, y = before[here], after[here]
-                most = np.minimum(c[x], c[y])
-                level, _ = sent.value.level(pair[here], np.where(most > 0, levels(np.maximum(most, 1)), 0))
-                log = np.zeros(len(pair))
-                log[here] = np.log10((np.minimum(level_count(level), c[x]) + mu * p1[y]) / (c[x] + mu))
-                if first:  # it also has the groups that hold no pair
-                    here = np.flatnonzero(empty[group])
-                    log[here] = np.log10(mu * p1[after[here]] / (c[before[here]] + mu))
-                share = np.add.reduceat(log, starts)
+                c = np.concatenate(([train_docs], counts))
+                own = np.concatenate(([_END], hashes)), c, np.where(c > 0, levels(np.maximum(c, 1)), 0), (c + 1) / (n + v + 1)
+                ends = np.cumsum(lengths, dtype=np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(ends // PIECE)) + 1).tolist(), len(ids)]  # some documents at a time bound what is held
+                at = np.concatenate(([0], ends))
+                found = [of(own, lengths[i:j], numbers[at[i] : at[j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                share, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
                 columns, names = [pa.array([no.as_py()], pa.int64()), pa.array([share])], ["no", "share"]
                 if last:
-                    known, base = np.add.reduceat(c[after] > 0, starts, dtype=np.int64), np.add.reduceat(np.log10(p1)[after], starts)
-                    columns += [pa.array([ids], pa.list_(pa.int64())), pa.array([~train]), pa.array([lengths.astype(np.int64) + 1]), pa.array([known]), pa.array([base])]
+                    columns += [pa.array([ids], pa.list_(pa.int64())), pa.array([~train]), pa.array([lengths.astype(np.int64) + 1]), *[pa.array([x]) for x in rest]]
                     names += ["ids", "held", "sizes", "known", "base"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
