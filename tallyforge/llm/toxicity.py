@@ -1,12 +1,12 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the character n-grams of the lower-cased text, windows of its UTF-8 bytes after every run of other signs than
-letters has become one blank. They are hashed into 2**bits buckets; what counts is whether a text has one. For each bucket the labelled training texts of either class that have it are
-counted over all of them, which gives its log-count ratio r = log((p + 1) / (P + 1) / ((q + 1) / (Q + 1))). Buckets whose
-ratio stands out from its sampling error by `least_z` are kept, all of them; the number of buckets grows with the bytes
-of the training texts, from 2**20 to 2**24. A logistic regression is
-fitted on these features, each scaled by its ratio, on a bounded sample of the training texts: the `sample` texts of
-each class with the least hash of their id. Every text is then scored whole.
+Features are the character n-grams of the lower-cased text with a blank before and after it, letters, digits and signs of
+any script alike; only a run of blanks counts as one. They are hashed into 2**bits buckets; what counts is whether a text
+has one. For each bucket the labelled training texts of either class that have it are counted over all of them, which
+gives its log-count ratio r = log((p + 1) / (P + 1) / ((q + 1) / (Q + 1))). Buckets whose ratio stands out from its
+sampling error by `least_z` are kept, all of them; the number of buckets grows with the bytes of the training texts, from
+2**20 to 2**24. A logistic regression is fitted on these features, each scaled by its ratio, on a bounded sample of the
+training texts: the `sample` texts of each class with the least hash of their id. Every text is then scored whole.
 
 The counts of a task are one array of 2**bits pairs, summed by section; ratios and weights are as many numbers, and the
 sample is bounded by parameters, so nothing that the driver sees grows with the corpus.
@@ -35,15 +35,19 @@ BUCKET_BYTES = 64
 #: Features of the sample that a step of the fit looks at together.
 _TOGETHER = 1 << 20
 _SECTIONS = 16
-_GAPS = re.compile(r"[\W\d_]+")
+_GAPS = re.compile(r"\s{2,}|[^\S ]")  # a single blank stays as it is
 #: Label rows up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
+def grams(text: str) -> str:
+    """The text whose windows are the n-grams."""
+    return f" {_GAPS.sub(' ', text.lower()).strip()} "
+
+
 def buckets(text: str, orders=ORDERS, bits: int = BITS) -> np.ndarray:
     """The bucket of each n-gram of the text, of each order in turn."""
-    data = f" {_GAPS.sub(' ', text.lower())} ".encode("utf-8", "surrogatepass")
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
+    b = np.frombuffer(grams(text).encode("utf-32-le", "surrogatepass"), np.uint32)
     h, out = np.zeros(len(b), np.uint32), []
     for n in range(1, max(orders) + 1):
         if len(b) < n:
@@ -61,7 +65,7 @@ def bits_for(size: int) -> int:
 
 def once(found: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Each bucket of found once; seen: a scratch array with a place for every bucket."""
-    at = np.arange(len(found))
+    at = np.arange(len(found), dtype=np.int32)
     seen[found] = at
     return found[seen[found] == at]
 
@@ -83,7 +87,7 @@ def class_counts(train: DataFrame, bits: int, orders) -> DataFrame:
     schema, size = "section int, counts binary", 1 << bits
 
     def count(batches):
-        counts, n, seen = np.zeros((2, size), np.int32), np.zeros(2, np.int64), np.zeros(size, np.int64)
+        counts, n, seen = np.zeros((2, size), np.int32), np.zeros(2, np.int64), np.zeros(size, np.int32)
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 counts[y, once(buckets(text, orders, bits), seen)] += 1
@@ -192,21 +196,37 @@ def train(docs: DataFrame, labels: DataFrame, orders=ORDERS, bits: int | None =
     return weights, float(b)
 
 
+class Model:
+    """The kept buckets with their weights, and the intercept; workers make the tables that a look-up needs."""
+
+    def __init__(self, weights: np.ndarray, intercept: float):
+        self.bits, self.intercept = len(weights).bit_length() - 1, intercept
+        self.kept = np.flatnonzero(weights).astype(np.uint32)
+        self.weights = weights[self.kept].astype(np.float64)
+
+    def tables(self):
+        """(a bit a bucket: whether it is kept; places of kept buckets; a scratch array)."""
+        if "_tables" not in self.__dict__:
+            marks, place = np.zeros(1 << self.bits, bool), np.zeros(1 << self.bits, np.int32)
+            marks[self.kept], place[self.kept] = True, np.arange(len(self.kept))
+            self._tables = np.packbits(marks, bitorder="little"), place, np.zeros(max(1, len(self.kept)), np.int32)
+        return self._tables
+
+    def score(self, text: str, orders=ORDERS) -> float:
+        marks, place, seen = self.tables()  # the bits fit a processor's cache, the places are read for what is kept
+        found = buckets(text, orders, self.bits)
+        hit = (marks[found >> np.uint32(3)] >> (found & np.uint32(7)).astype(np.uint8)) & 1 == 1
+        z = self.intercept + float(self.weights[once(place[found[hit]], seen)].sum())
+        return 1 / (1 + np.exp(-z)) if z > -700 else 0.0
+
+
 def scorer(spark, model: tuple[np.ndarray, float], orders=ORDERS):
     """A function from a text column to the column of its scores."""
-    sent, bits = spark.sparkContext.broadcast(model), len(model[0]).bit_length() - 1
+    sent = spark.sparkContext.broadcast(Model(*model))
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        weights, intercept = sent.value
-        used = weights != 0
-
-        def one(t):
-            found = buckets(t or "", orders, bits)
-            z = intercept + float(weights[np.unique(found[used[found]])].sum(dtype=np.float64))
-            return 1 / (1 + np.exp(-z)) if z > -700 else 0.0
-
-        return pd.Series([one(t) for t in text], dtype="float64")
+        return pd.Series([sent.value.score(t or "", orders) for t in text], dtype="float64")
 
     return score
 
