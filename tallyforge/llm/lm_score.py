@@ -44,6 +44,7 @@ FOLDS, FOLD, MU, BITS, HASHES, MAX_BYTES = 7, 2, 20.0, 12, 8, 64 << 20
 FLUSH, GROUP_BYTES = 1 << 22, 1 << 20
 #: Tokens of a chunk that are scored together.
 PIECE = 1 << 17
+_TOTAL = -2
 _END = np.uint64(xxhash.xxh64_intdigest(b"end of text", 7))
 
 
@@ -168,23 +169,20 @@ def numbered(docs: DataFrame, buckets: int, folds: int, fold: int) -> DataFrame:
 
 
 def word_counts(asked: DataFrame, parts: int) -> DataFrame:
-    """bucket, chunk, payload, v, n. Each chunk's words of a bucket answered with their counts in the whole corpus; and a row
-    without a chunk for each bucket: v distinct training words, n training words."""
+    """bucket, chunk, payload. Each chunk's words of a bucket answered with their counts in the whole corpus; and a row of a
+    chunk of its own for each bucket: its distinct training words and its training words."""
 
     def run(batches):
         bucket, held = None, []
 
-        def row(chunk, payload, v, n):
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.binary()), pa.array([payload], pa.binary()), pa.array([v], pa.int64()), pa.array([n], pa.int64())], ["bucket", "chunk", "payload", "v", "n"])
-
         def done():
             total: dict[bytes, int] = {}
             for _, payload in held:
                 for w, c in zip(*exchange.unpack(payload), strict=True):
                     total[w] = total.get(w, 0) + c
             for chunk, payload in held:
-                yield row(chunk, exchange.pack(np.array([total[w] for w in exchange.unpack(payload)[0]], np.int64)), 0, 0)
-            yield row(None, None, sum(c > 0 for c in total.values()), sum(total.values()))
+                yield exchange.rows([(bucket, chunk, exchange.pack(np.array([total[w] for w in exchange.unpack(payload)[0]], np.int64)))])
+            yield exchange.rows([(_TOTAL, b"%d" % bucket, exchange.pack((sum(c > 0 for c in total.values()), sum(total.values()))))])
 
         gc.disable()
         for b in batches:
@@ -197,11 +195,12 @@ def word_counts(asked: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from done()
 
-    return asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, exchange.REQUEST + ", v long, n long")
+    return asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, exchange.REQUEST)
 
 
 def counted(chunks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """payload: ids, training marks, words of each document, numbers, hashes and corpus counts of each chunk."""
+    """payload: ids, training marks, words of each document, numbers, hashes and corpus counts of each chunk; or v, n: what a
+    bucket has in all."""
 
     def run(batches):
         key, held, got = None, [], []
@@ -210,11 +209,18 @@ def counted(chunks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
                 if chunk != key:
                     yield from _with_counts(held, got)
                     key, held, got = chunk, [], []
-                (held if k < 0 else got).append((k, payload))
+                if k == _TOTAL:
+                    yield _row(None, *exchange.unpack(payload))
+                else:
+                    (held if k < 0 else got).append((k, payload))
         yield from _with_counts(held, got)
 
     both = chunks.unionByName(answers).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
-    return both.mapInArrow(run, "payload binary")
+    return both.mapInArrow(run, "payload binary, v long, n long")
+
+
+def _row(payload, v, n):
+    return pa.RecordBatch.from_arrays([pa.array([payload], pa.binary()), pa.array([v], pa.int64()), pa.array([n], pa.int64())], ["payload", "v", "n"])
 
 
 def _with_counts(held: list, got: list):
@@ -223,8 +229,7 @@ def _with_counts(held: list, got: list):
     counts = [exchange.unpack(answers[k]) for k in sorted(answers)]
     for _, payload in held:
         own = exchange.unpack(payload)
-        body = exchange.pack((*own, np.concatenate([np.zeros(0, np.int64), *counts])))
-        yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["payload"])
+        yield _row(exchange.pack((*own, np.concatenate([np.zeros(0, np.int64), *counts]))), 0, 0)
 
 
 def tokens_of(lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -370,17 +375,17 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, mu: float =
     docs = exchange.id_and_text(docs, id_col, text_col)
     buckets, parts = exchange.buckets_for(docs), max(width(docs), 8)
     made = scratch.table(numbered(docs, buckets, folds, fold))
-    answers = scratch.table(word_counts(made.filter("bucket >= 0").select("bucket", "chunk", "payload"), min(buckets, parts)))
-    v, n = answers.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     train_docs = made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    model = {"n": n + train_docs, "v": v + (train_docs > 0), "mu": mu, "train_docs": train_docs}
     columns = ["bucket", "chunk", "payload"]
-    chunks = counted(made.filter("bucket < 0").select(*columns), answers.filter("chunk IS NOT NULL").select(*columns), parts)
-    chunks = scratch.table(chunks.select(F.monotonically_increasing_id().alias("no"), "payload"))
+    answers = word_counts(made.filter("bucket >= 0").select(*columns), min(buckets, parts))
+    chunks = counted(made.filter("bucket < 0").select(*columns), answers, parts)
+    chunks = scratch.table(chunks.withColumn("no", F.monotonically_increasing_id()))
     scratch.drop(made)
-    scratch.drop(answers)
+    v, n = chunks.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    model = {"n": n + train_docs, "v": v + (train_docs > 0), "mu": mu, "train_docs": train_docs}
+    chunks = chunks.filter("payload IS NOT NULL").select("no", "payload")
     groups = int(min(1 << 15, max(64, (model["n"] * bits // 8 // GROUP_BYTES))))
-    filters = scratch.table(filter_parts(chunks.select("payload"), groups, bits, hashes, parts))
+    filters = scratch.table(filter_parts(chunks.select("payload"), groups, bits, hashes, parts), few=True)
     sizes = {r[0]: r[1] for r in filters.select("bucket", F.length("payload")).collect()}  # a row for each of the groups
     slices, shares = slices_of(sizes, max_bytes), []
     empty = np.array([k not in sizes for k in range(groups)])
