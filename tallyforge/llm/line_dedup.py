@@ -1,16 +1,16 @@
 """Line dedup by site-relative frequency.
 
 A page's lines are its visible text cut at block tags and newlines, trimmed. For each host and line the share of the
-host's pages that contain the line is computed; lines whose share exceeds `ratio` are boilerplate and are dropped, where
-the host has at least `least_pages` pages (on a site of one page every line would be boilerplate).
+host's pages that contain the line is computed; lines whose share exceeds `ratio` are boilerplate and are dropped. So a
+host of one page loses all its lines; `least_pages`, 1 by default, spares hosts of fewer pages.
 
 A page counts once for a line however often it repeats it. (host, line) counts combine on the map side, so a line that
 stands on every page of a hot host arrives as one row per map task. A host's boilerplate lines are few: each is on more
 than `ratio` of its pages, so there are at most mean-lines-per-page / ratio of them. Pages meet their host's list in a
 join salted by `salts`: the list is repeated for each salt, so a hot host's pages spread over that many tasks.
 
-Nulls: a null page body has no lines, a null or unparsable address is the host ''. Repeated page rows count as pages of
-their own. Empty table: empty result. Other columns are ignored.
+Nulls: a null page body has no lines, a null or unparsable address is the host ''. A line on exactly `ratio` of the pages
+stays. Repeated page rows count as pages of their own. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, read
 
-RATIO, LEAST_PAGES, SALTS = 0.5, 3, 32
+RATIO, LEAST_PAGES, SALTS = 0.5, 1, 32
 
-#: HTML elements whose content isn't text, and elements that end a line.
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
-TAG = r"<[^>]*>"
+#: HTML elements whose content isn't text (what isn't closed hides the rest of the page), and elements that
+#: end a line. No pattern reads on from one start over the next, so a page takes linear time whatever it leaves open.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)"
+BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^<>]*>"
+TAG = r"<[^<>]*>"
 
 
 def host_of(url: Column) -> Column:
@@ -55,7 +56,7 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
 
 def line_dedup(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, salts: int = SALTS) -> DataFrame:
     """One row for each row of pages: page_id, host, n_lines, n_dropped, text (the lines that stay, newline-joined)."""
-    split = split_lines(pages)
+    split = Scratch(pages.sparkSession).table(split_lines(pages))  # read for the counts and for the pages
     table = boilerplate(split, ratio, least_pages).select("host", "drop", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     rows = split.withColumn("salt", F.pmod(F.xxhash64("page_id", "lines"), F.lit(salts)).cast("int"))
     out = rows.join(table, ["host", "salt"], "left")

@@ -79,10 +79,20 @@ def test_line_dedup(spark):
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, host string")
     got = {(r.page_id, r.host, r.n_lines, r.n_dropped, r.text) for r in line_dedup.line_dedup(pages).collect()}
     want = {(i, "big.example", 5, 3, f"T{i}\nUnique {i} &amp; bold") for i in range(40)}
-    want |= {(i, "small.example", 5, 0, f"T{i}\nMenu\nUnique {i} &amp; bold\nMenu\nSite foot") for i in (50, 51)}
+    want |= {(i, "small.example", 5, 3, f"T{i}\nUnique {i} &amp; bold") for i in (50, 51)}
     want |= {(60, "", 1, 0, "null host"), (61, "", 0, 0, ""), (62, "big.example", 0, 0, "")}
     assert got == want
     assert line_dedup.line_dedup(pages.limit(0)).count() == 0
+    spared = {r.page_id: r.n_dropped for r in line_dedup.line_dedup(pages, least_pages=3).collect()}
+    assert spared[50] == 0 and spared[1] == 3
+
+
+def test_line_dedup_of_one_page_and_of_what_is_left_open(spark):
+    rows = [(1, "http://one.example", "<p>all goes</p>")]
+    rows += [(10 + i, "http://open.example", x) for i, x in enumerate(["a < b<p>c", "<p>d<!-- e <p>f", "g<script>h</p>", "<style x>i", "j<p k", "<" * 100_000 + "l", "<!-- " * 100_000, "<p " * 100_000, "m<script " * 50_000])]
+    got = {r.page_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "" and [got[10 + i] for i in range(7)] == ["a < b\nc", "d", "g", "", "j<p k", "<" * 100_000 + "l", ""]
+    assert got[17] == ("<p " * 100_000).strip() and got[18] == "m"
 
 
 def test_attach_meets_heavy_and_light_keys(spark, monkeypatch):
