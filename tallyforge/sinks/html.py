@@ -17,7 +17,7 @@ def escape(s: object) -> str:
 
 
 def shown(v: float | None) -> str:
-    return "–" if v is None else str(int(v)) if v == int(v) else f"{v:.3f}"
+    return "null" if v is None else str(int(v)) if v == int(v) else f"{v:.3f}"
 
 
 def table(head: list[str], rows: list[list]) -> str:
@@ -32,34 +32,44 @@ def bars(metric: str, bins: list) -> str:
     return f'<figure style="display:inline-block;margin:6px"><figcaption>{escape(metric)}</figcaption><svg width="240" height="80">{rects}</svg></figure>'
 
 
+def distributions(units, columns: dict[str, str]) -> str:
+    """A histogram of each metric that has values. columns: metric by column."""
+    every: dict[str, list] = {}
+    for b in sorted((r.asDict() for r in stats.histograms(units, [*columns], BINS).collect()), key=lambda b: b["bin"]):
+        every.setdefault(b["metric"], []).append(b)
+    return "".join(bars(m, every[c]) for c, m in columns.items() if c in every)
+
+
+def heatmap(units, columns: dict[str, str], cell: int = 9) -> str:
+    """Rank correlations of each pair of metrics, red where positive, blue where negative."""
+    rho = {(r["a"], r["b"]): r["spearman"] for r in stats.correlations(units, [*columns]).collect()}
+    rects = []
+    for (i, (a, name_a)), (j, (b, name_b)) in combinations(enumerate(columns.items()), 2):
+        v = rho[a, b]
+        if v is not None:
+            shade = int(255 * (1 - abs(v)))
+            fill = f"rgb(255,{shade},{shade})" if v > 0 else f"rgb({shade},{shade},255)"
+            rects.append(f'<rect x="{j * cell}" y="{i * cell}" width="{cell}" height="{cell}" fill="{fill}"><title>{escape(name_a)} / {escape(name_b)}: {v:.3f}</title></rect>')
+    return f'<svg width="{len(columns) * cell}" height="{len(columns) * cell}">{"".join(rects)}</svg>'
+
+
 def to_html(spark, made: dict) -> str:
     """made: a result as output.to_dict gives it."""
-    units = output.units(spark, [made], "file").persist()
-    ids = registry.ids("L")
-    columns = [registry.column(m) for m in ids]
-    languages = sorted(r[0] for r in units.select("language").distinct().collect())
-    parts = [f"<h1>{escape(made['run'].get('project'))}</h1>", table(["run", "value"], [[k, v if not isinstance(v, dict) else ", ".join(f"{a} {b}" for a, b in v.items())] for k, v in made["run"].items() if v is not None])]
+    files, functions = (output.units(spark, [made], scope).persist() for scope in ("file", "function"))
+    of_files, of_functions = ({registry.column(m): m for m in registry.ids(s)} for s in "LF")
+    languages = sorted({f["language"] for f in made["files"] if f["status"] == "ok"})
+    run = [[k, v if not isinstance(v, dict) else ", ".join(f"{a} {b}" for a, b in v.items())] for k, v in made["run"].items()]
+    parts = [f"<h1>{escape(made['run'].get('project'))}</h1>", table(["run", "value"], [[k, "null" if v is None else v] for k, v in run])]
     parts.append("<h2>Project</h2>" + table(["metric", "value"], [[m, shown(made["project"]["metrics"].get(m))] for m in registry.ids("P")]))
     if languages:
-        med = {r["metric"]: r for r in stats.medians_by_language(units, columns, languages).collect()}
-        parts.append("<h2>Medians of files</h2>" + table(["metric", *languages], [[m, *[shown(med[registry.column(m)][x]) for x in languages]] for m in ids]))
-        every: dict[str, list] = {}
-        for b in sorted((r.asDict() for r in stats.histograms(units, columns, BINS).collect()), key=lambda b: b["bin"]):
-            every.setdefault(b["metric"], []).append(b)
-        figures = [bars(m, every[c]) for m, c in zip(ids, columns, strict=True) if c in every]
-        parts.append("<h2>Distributions over files</h2>" + "".join(figures))
-        rho = {(r["a"], r["b"]): r["spearman"] for r in stats.correlations(units, columns).collect()}
-        cell = 9
-        rects = []
-        for (i, a), (j, b) in combinations(enumerate(columns), 2):
-            v = rho[a, b]
-            if v is not None:
-                shade = int(255 * (1 - abs(v)))
-                fill = f"rgb(255,{shade},{shade})" if v > 0 else f"rgb({shade},{shade},255)"
-                rects.append(f'<rect x="{j * cell}" y="{i * cell}" width="{cell}" height="{cell}" fill="{fill}"><title>{escape(ids[i])} / {escape(ids[j])}: {v:.3f}</title></rect>')
-        parts.append(f'<h2>Rank correlations</h2><svg width="{len(ids) * cell}" height="{len(ids) * cell}">{"".join(rects)}</svg>')
+        med = {r["metric"]: r for r in stats.medians_by_language(files, [*of_files], languages).collect()}
+        parts.append("<h2>Medians of files</h2>" + table(["metric", *languages], [[m, *[shown(med[c][x]) for x in languages]] for c, m in of_files.items()]))
+        parts.append("<h2>Distributions over functions</h2>" + distributions(functions, of_functions))
+        parts.append("<h2>Distributions over files</h2>" + distributions(files, of_files))
+        parts.append("<h2>Rank correlations over functions</h2>" + heatmap(functions, of_functions))
     failed = [f for f in made["files"] if f["status"] == "error"]
     if failed:
         parts.append("<h2>Files left out</h2>" + table(["path", "error"], [[f["path"], f["error"]] for f in failed]))
-    units.unpersist()
+    files.unpersist()
+    functions.unpersist()
     return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{escape(made["run"].get("project"))}</title><style>{_STYLE}</style></head><body>{"".join(parts)}</body></html>\n'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 
@@ -54,10 +55,8 @@ def to_json(result: Result | dict) -> str:
 
 
 def number(v: float | None) -> str:
-    """Without a trailing .0; nothing for null."""
-    if v is None:
-        return ""
-    return str(int(v)) if v == int(v) and abs(v) < 1e16 else repr(v)
+    """The shortest decimal that reads back as v, without an exponent or a trailing .0; nothing for null."""
+    return "" if v is None else format(Decimal(repr(float(v))), "f").removesuffix(".0")
 
 
 def quoted(s: str | None) -> str:
@@ -76,7 +75,7 @@ def to_csv(result: Result | dict) -> str:
     def line(fixed: list, values: dict) -> None:
         lines.append(",".join([quoted(str(x) if x is not None else "") for x in fixed] + [number(values.get(m)) for m in registry.IDS]))
 
-    line(["project", "", "", "", "", "", "ok", ""], made["project"]["metrics"])
+    line(["project", "", "", "", "", "", "", ""], made["project"]["metrics"])
     for f in made["files"]:
         if f["status"] == "error":
             line(["file", f["path"], f.get("language"), "", "", "", "error", f["error"]], {})

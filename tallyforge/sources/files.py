@@ -21,12 +21,15 @@ class UnsupportedLanguage(ValueError):
         super().__init__(f"{path}: unsupported language; give a file with one of these extensions: {', '.join(extensions())}")
 
 
-def _rules(folder: str) -> list[tuple[re.Pattern, bool, bool]]:
-    """(pattern, negated, for folders only) of the ignore files in a folder."""
+Rules = list[tuple[re.Pattern, bool, bool]]
+
+
+def _rules(*paths: str) -> Rules:
+    """(pattern, negated, for folders only) of ignore files, those that exist."""
     out = []
-    for name in (".gitignore", ".ignore"):
+    for path in paths:
         try:
-            with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+            with open(path, encoding="utf-8", errors="replace") as f:
                 lines = f.read().splitlines()
         except OSError:
             continue
@@ -45,30 +48,63 @@ def _rules(folder: str) -> list[tuple[re.Pattern, bool, bool]]:
     return out
 
 
+def _global_ignore() -> str:
+    """The user's own ignore file: core.excludesFile, or git/ignore in the configuration folder."""
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+    try:
+        own = subprocess.run(["git", "config", "--global", "--get", "core.excludesFile"], capture_output=True, text=True, timeout=30).stdout.strip()
+    except (OSError, subprocess.TimeoutExpired):
+        own = ""
+    return os.path.expanduser(own) if own else os.path.join(home, "git", "ignore")
+
+
+def _around(root: str) -> list[tuple[str, Rules]]:
+    """(folder, rules) of what holds for root from outside, the weakest first: the user's file, the working copy's exclude
+    file, the ignore files of the folders above. .gitignore files count inside a working copy only, up to its top."""
+    folders = _above(root)
+    top = next((f for f in folders if os.path.exists(os.path.join(f, ".git"))), None)
+    out = [(top, _rules(_global_ignore())), (top, _rules(os.path.join(top, ".git", "info", "exclude")))] if top else []
+    for f in reversed(folders[1:]):
+        inside = top is not None and (f + os.sep).startswith(top.rstrip(os.sep) + os.sep)
+        out.append((f, _rules(*[os.path.join(f, n) for n in ([".gitignore"] if inside else []) + [".ignore"]])))
+    return [(f, r) for f, r in out if r]
+
+
 def walk(root: str) -> list[str]:
-    """Relative paths of the supported files under root, hidden and ignored ones left out, sorted by component."""
+    """Relative paths of the supported files under root, hidden and ignored ones left out, sorted by component. Of rules
+    that match, the one of the nearest folder counts, and in it the last one; .ignore goes before .gitignore."""
     found: list[str] = []
+    root = os.path.realpath(root)
+    git = any(os.path.exists(os.path.join(f, ".git")) for f in _above(root))
 
-    def visit(folder: str, rel: str, rules: list[tuple[str, list]]) -> None:
-        rules = [*rules, (rel, _rules(folder))]
+    def visit(folder: str, rules: list[tuple[str, Rules]]) -> None:
+        rules = [*rules, (folder, _rules(*[os.path.join(folder, n) for n in ([".gitignore"] if git or os.path.exists(os.path.join(folder, ".git")) else []) + [".ignore"]]))]
         for e in sorted(os.scandir(folder), key=lambda x: x.name):
-            path = f"{rel}{e.name}"
             if e.name.startswith("."):
                 continue
             is_dir, ignored = e.is_dir(follow_symlinks=False), False
             for base, own in rules:
+                path = os.path.relpath(e.path, base)
                 for rx, negated, only_dirs in own:
-                    if rx.match(path[len(base) :]) and (is_dir or not only_dirs):
+                    if rx.match(path) and (is_dir or not only_dirs):
                         ignored = not negated
             if ignored:
                 continue
             if is_dir:
-                visit(e.path, path + "/", rules)
-            elif e.is_file() and language_of(path):
-                found.append(path)
+                visit(e.path, rules)
+            elif e.is_file() and language_of(e.name):
+                found.append(os.path.relpath(e.path, root))
+
+    visit(root, _around(root))
+    return sorted(found, key=lambda p: p.split(os.sep))
 
-    visit(root, "", [])
-    return sorted(found, key=lambda p: p.split("/"))
+
+def _above(folder: str) -> list[str]:
+    """The folder and all above it."""
+    out = [folder]
+    while (up := os.path.dirname(out[-1])) != out[-1]:
+        out.append(up)
+    return out
 
 
 def targets(path: str) -> list[tuple[str, str]]:

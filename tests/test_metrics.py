@@ -273,6 +273,8 @@ def test_folder(spark, tmp_path):
     (tmp_path / ".hidden.py").write_text("x = 1")
     (tmp_path / "left.py").write_text("x = 1")
     (tmp_path / ".gitignore").write_text("left.py\n*.log\n")
+    assert "left.py" in sources.walk(str(tmp_path))  # git's rules count in a working copy only
+    (tmp_path / ".git").mkdir()
     assert sources.walk(str(tmp_path)) == ["bad.py", "broken.c", "ok.py", "sub/empty.py"]
     r = plan.analyze(spark, str(tmp_path))
     got = {x.path: x.status for x in r.parsed.collect()}
@@ -287,6 +289,27 @@ def test_folder(spark, tmp_path):
         plan.analyze_source(spark, "a.c", "int f( {")
 
 
+def test_ignore_rules_from_outside(tmp_path, monkeypatch):
+    """Of the user's own file, the exclude file, folders above and .ignore files."""
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "config"))
+    monkeypatch.setenv("GIT_CONFIG_GLOBAL", str(tmp_path / "none"))
+    top = tmp_path / "copy"
+    for folder in ("config/git", "copy/.git/info", "copy/a/b", "copy/a/c"):
+        (tmp_path / folder).mkdir(parents=True)
+    for name in ("one.py", "two.py", "three.py", "four.py", "five.py", "six.py"):
+        for folder in ("a", "a/b", "a/c"):
+            (top / folder / name).write_text("")
+    (tmp_path / "config/git/ignore").write_text("one.py\n")
+    (top / ".git/info/exclude").write_text("/a/b/two.py\n")
+    (top / ".gitignore").write_text("three.py\na/b/four.py\n/five.py\n")
+    (tmp_path / ".gitignore").write_text("six.py\n")  # outside of the working copy
+    assert sources.walk(str(top / "a/b")) == ["five.py", "six.py"]
+    (top / "a/.gitignore").write_text("!three.py\nc/\n")
+    (top / "a/.ignore").write_text("five.py\n!one.py\n")
+    (tmp_path / ".ignore").write_text("six.py\n")
+    assert sources.walk(str(top / "a")) == ["b/one.py", "b/three.py", "four.py", "one.py", "three.py", "two.py"]
+
+
 def test_metrics_know_no_language():
     """Metrics read the representation only."""
     import tallyforge.operators.metrics as m

@@ -89,8 +89,11 @@ def test_json_csv_html(spark, made):
     lines = output.to_csv(made).splitlines()
     assert lines[0].split(",") == output.HEADER + registry.IDS and len(lines) == 1 + 1 + 8 + 24
     assert output.quoted('a"b,c') == '"a""b,c"' and output.number(3.0) == "3" and output.number(None) == ""
+    assert [output.number(x) for x in (5e-05, 1e16, 1.5e20, 0.1, 1 / 3, -2.0, 123456.789)] == ["0.00005", "10000000000000000", "150000000000000000000", "0.1", "0.3333333333333333", "-2", "123456.789"]
+    assert lines[1].startswith("project,,,,,,,,") and ",ok,," in lines[2]
     page = html.to_html(spark, made)
     assert "<script" not in page and "http" not in page and html.escape("<x>") == "&lt;x&gt;" and "complexity.cyclomatic" in page
+    assert "Distributions over functions" in page and "Rank correlations over functions" in page and "complexity.path_count / complexity.cognitive" in page and "–</td>" not in page
 
 
 def test_label_join(spark, made):
