@@ -16,7 +16,7 @@ LANGUAGES: list[tuple[str, tuple[str, ...], str]] = [
     ("python", ("py",), "tallyforge-python 1"),
     ("rust", ("rs",), "tallyforge-rust 1"),
 ]
-_GRAMMAR = {"javascript": "js", "typescript": "ts", "tsx": "ts"}
+_GRAMMAR = {"javascript": "js", "typescript": "ts", "tsx": "tsx"}
 PARSERS = {name: version for name, _, version in LANGUAGES}
 
 

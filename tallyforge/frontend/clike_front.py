@@ -1,7 +1,7 @@
 """C, C++, Go, Java, JavaScript, TypeScript and Rust: one recursive-descent parser with per-language branches.
 
 It reads what the metrics need: functions, statements, expressions and their nesting. Types, generics and attributes are
-skipped by balanced matching. Code that it can't read is a ParseError, never a partial result. JSX isn't read.
+skipped by balanced matching. Code that it can't read is a ParseError, never a partial result.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ _TS_WORDS = frozenset("public private protected readonly abstract declare overri
 
 class Parser:
     def __init__(self, text: str, lang: str):
-        self.text, self.lang = text, lang
+        self.text = text
         self.all, _ = lex(text, lang)
+        self.lang = lang = "ts" if lang == "tsx" else lang
         self.directives = [t for t in self.all if t.inner and t.inner[0] in ("include",)]
         self.toks = [t for t in self.all if t.kind != "comment" and not (t.inner and isinstance(t.inner[0], str))]
         self.toks.append(Lexeme("end", "", len(text), len(text), True))
@@ -2308,6 +2309,38 @@ class Parser:
         self.no_struct = save
         return self.node("function", first, *kids, params=params)
 
+    def jsx(self, end: int) -> Node:
+        """A JSX element that ends at a place: its names, attribute strings and code, elements within it alike."""
+        first, kids = self.i, []
+        while self.t.start < end and self.t.kind != "end":
+            k = self.i
+            if self.at("<", "</") and not (self.at("<") and self.t.inner and kids):
+                self.take()
+                if self.t.kind == "identifier":
+                    name = self.take()
+                    n = self.node("identifier", self.i - 1)
+                    while self.at(".", ":"):
+                        self.i += 2
+                        n = Node("expression" if self.toks[self.i - 2].text == "." else "other", name.start, self.toks[self.i - 1].end, [n])
+                    kids.append(n)
+            elif self.at("{"):
+                self.take()
+                inner = []
+                while not self.at("}"):
+                    if self.at("..."):
+                        self.take()
+                    inner.append(self.expression())
+                self.take()
+                kids.append(self.node("other", k, *inner))
+            elif self.at("<"):
+                kids.append(self.jsx(self.t.inner[0][1]))
+            elif self.t.kind == "literal":
+                self.take()
+                kids.append(self.node("literal", k))
+            else:
+                self.take()
+        return self.node("other", first, *kids)
+
     def primary(self) -> Node:
         first, t = self.i, self.t
         s = t.text
@@ -2318,6 +2351,8 @@ class Parser:
             while self.t.kind == "literal" and self.c and s[-1:] == '"':  # neighbouring strings are one
                 self.take()
             return self.node("literal", first)
+        if self.js and s == "<" and t.inner:
+            return self.jsx(t.inner[0][1])
         if t.kind == "identifier":
             if self.js and self.peek().text == "=>":
                 return self.lambda_(first, "=>")

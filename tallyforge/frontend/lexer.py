@@ -28,7 +28,7 @@ KEYWORDS = {
     "js": "async await break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new return static super switch this throw try typeof var void while with yield",
     "rust": "as async await break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return self static struct super trait type unsafe use where while i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64 bool char str",
 }
-KEYWORDS["ts"] = KEYWORDS["js"]
+KEYWORDS["ts"] = KEYWORDS["tsx"] = KEYWORDS["js"]
 KEYWORDS = {k: frozenset(v.split()) for k, v in KEYWORDS.items()}
 
 #: Words that are literals.
@@ -36,6 +36,7 @@ WORD_LITERALS = {
     "c": "true false NULL", "cpp": "true false NULL nullptr", "go": "true false nil iota", "java": "true false null", "js": "true false null undefined", "ts": "true false null undefined", "rust": "true false",
 }
 WORD_LITERALS = {k: frozenset(v.split()) for k, v in WORD_LITERALS.items()}
+WORD_LITERALS["tsx"] = WORD_LITERALS["ts"]
 
 _OPERATORS = r"<<<=|>>>=|\.\.\.|<=>|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|===|!==|>>>|\.\.=|&\^=|->\*|\?\.(?!\d)|=>|->|::|\+\+|--|&&|\|\||\?\?|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|&\^|:=|<-|\.\.|\.\*|[-+*/%=<>!&|^~?:;,.(){}\[\]@#$\\]"
 _NUMBER = r"(?:0[xX][0-9a-fA-F_']+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bBoO][0-7_']+|(?:\d[\d_']*)?\.?\d[\d_']*(?:\.(?![.\w]))?(?:[eE][+-]?\d[\d_]*)?)\w*"
@@ -52,7 +53,7 @@ _TABLES = {
     "rust": [("comment", r"//[^\n]*|/\*"), ("literal", r'(?:b|c)?"(?:[^"\\]|\\.)*"|(?:b|c)?r(?P<h>#*)"[\s\S]*?"(?P=h)|b?\'(?:[^\'\\\n]|\\[^\n]+?)\''), ("lifetime", r"'\w+"), ("number", _RUST_NUMBER), ("word", r"(?:r#)?[^\W\d]\w*"), ("op", _OPERATORS)],
 }
 _TABLES["cpp"] = [("literal", r'(?:u8|[uUL])?R"(?P<d>[^(\s]*)\([\s\S]*?\)(?P=d)"'), *_TABLES["c"]]
-_TABLES["ts"] = _TABLES["js"]
+_TABLES["ts"] = _TABLES["tsx"] = _TABLES["js"]
 _RE = {k: re.compile("|".join(f"(?P<{n}{i}>{p})" for i, (n, p) in enumerate(t)), re.DOTALL) for k, t in _TABLES.items()}
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _DIRECTIVE = re.compile(r"#[ \t]*(\w*)")
@@ -89,7 +90,12 @@ def lex(text: str, lang: str, start: int = 0, until: str | None = None) -> tuple
         if c == "#" and fresh and lang in ("c", "cpp"):
             i = _directive(text, i, lang, out)
             continue
-        if c == "/" and lang in ("js", "ts") and _regex_may_follow(code) and (m := _REGEX.match(text, i)):
+        if c == "<" and lang in ("js", "tsx") and _regex_may_follow(code) and (made := _jsx(text, i, lang, fresh)):
+            out.extend(made)
+            code = made[-1]
+            i, fresh = code.end, False
+            continue
+        if c == "/" and lang in ("js", "ts", "tsx") and _regex_may_follow(code) and (m := _REGEX.match(text, i)):
             code = Lexeme("literal", m[0], i, m.end(), fresh)
             out.append(code)
             i, fresh = m.end(), False
@@ -196,6 +202,106 @@ def _directive(text: str, i: int, lang: str, out: list[Lexeme]) -> int:
     return stop
 
 
+#: Names of elements and attributes, what may stand between them, and the signs that make `<T` a list of type parameters.
+_JSX_NAME = re.compile(r"(?:[^\W\d]|[$])[\w$-]*")
+_JSX_GAP = re.compile(r"(?:\s|//[^\n]*|/\*.*?\*/)*", re.DOTALL)
+_JSX_NOT = re.compile(r"<\s*[\w$]+\s*(?:,|extends\b[^>]*>\s*\(|>\s*\()")
+
+
+def _jsx(text: str, i: int, lang: str, fresh: bool) -> list[Lexeme] | None:
+    """The lexemes of the JSX element at i, the first marked with where the element ends; None if there is none.
+
+    Names are identifiers, attribute strings literals, text between the tags one token a stretch; code in braces is lexed
+    as such."""
+    if not re.match(r"<\s*(?:[^\W\d]|[$>])", text[i : i + 200]) or (lang == "tsx" and _JSX_NOT.match(text, i)):
+        return None
+    out: list[Lexeme] = []
+    at, depth = i, 0
+
+    def sign(s: str) -> bool:
+        nonlocal at
+        gap = _JSX_GAP.match(text, at).end()
+        if not text.startswith(s, gap):
+            return False
+        for m in re.compile(r"//[^\n]*|/\*.*?\*/", re.DOTALL).finditer(text, at, gap):
+            out.append(Lexeme("comment", m[0], m.start(), m.end()))
+        out.append(Lexeme("punctuation" if s in "{}" else "operator", s, gap, gap + len(s), fresh and not out))
+        at = gap + len(s)
+        return True
+
+    def name() -> bool:
+        nonlocal at
+        m = _JSX_NAME.match(text, _JSX_GAP.match(text, at).end())
+        if m:
+            out.append(Lexeme("identifier", m[0], m.start(), m.end()))
+            at = m.end()
+        return bool(m)
+
+    def code() -> None:
+        nonlocal at
+        inner, at = lex(text, lang, at, "}")
+        out.extend(inner)
+        sign("}")
+
+    def dotted() -> bool:
+        if not name():
+            return False
+        while sign(".") or sign(":"):
+            if not name():
+                raise _error(text, at)
+        return True
+
+    while True:
+        if sign("</"):
+            dotted()
+            if not sign(">"):
+                raise _error(text, at)
+            depth -= 1
+        elif sign("<"):
+            dotted()
+            while not (sign("/>") or sign(">")):
+                if sign("{"):
+                    code()
+                elif not name():
+                    raise _error(text, at)
+                else:
+                    if sign(":") and not name():
+                        raise _error(text, at)
+                    if sign("="):
+                        gap = _JSX_GAP.match(text, at).end()
+                        quote = text[gap : gap + 1]
+                        if quote and quote in "\"'":
+                            end = text.find(quote, gap + 1) + 1
+                            if not end:
+                                raise _error(text, gap)
+                            out.append(Lexeme("literal", text[gap:end], gap, end))
+                            at = end
+                        elif sign("{"):
+                            code()
+                        else:
+                            made = _jsx(text, gap, lang, False)
+                            if not made:
+                                raise _error(text, gap)
+                            out.extend(made)
+                            at = made[-1].end
+            depth += out[-1].text == ">"
+        elif sign("{"):
+            code()
+        else:
+            raise _error(text, at)
+        if not depth:
+            out[0].inner = [("jsx", out[-1].end)]
+            return out
+        end = re.compile(r"[<{]").search(text, at)
+        if not end:
+            raise _error(text, at)
+        words = text[at : end.start()]
+        if words.strip():
+            a = at + len(words) - len(words.lstrip())
+            out.append(Lexeme(classify(words.strip()), words.strip(), a, a + len(words.strip())))
+        at = end.start()
+
+
 def _template(text: str, i: int, lang: str, fresh: bool) -> tuple[list[Lexeme], int]:
     """A template literal: one literal, or a literal for each stretch of text with the code between them."""
     out: list[Lexeme] = []

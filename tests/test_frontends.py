@@ -63,6 +63,35 @@ def test_javascript_and_typescript():
     assert kinds(a)["case"] == 2 and kinds(a)["catch"] == 1 and kinds(a)["jump"] == 3 and kinds(a)["loop"] == 1
 
 
+def test_jsx():
+    a = read("a.jsx", "const App = (props) => <div>{props.x ? 1 : 2}</div>;\n")
+    assert kinds(a)["conditional"] == 1 and len(a["functions"]) == 1 and kinds(a)["identifier"] == 4
+    a = read("a.tsx", """import * as React from 'react';
+export function List<T extends { id: string }>({ items, onPick }: Props<T>) {
+  const pick = <U,>(u: U) => u;
+  if (!items.length) return <p className="none" data-x='1'>Don't worry, it's empty &amp; fine</p>;
+  return (
+    <>
+      {/* all of them */}
+      <ul.Big {...rest} style={{ color: 'red' }} onClick={() => { if (a < b) onPick(a); }} hidden>
+        {items.map((x: T) => x.id && <li key={x.id}><svg:path d="M0"/>{x.n > 1 ? <b>many</b> : 'one'}</li>)}
+      </ul.Big>
+    </>
+  );
+}
+""")
+    assert [f[1] for f in a["functions"]] == ["List", None, None, None]
+    assert kinds(a)["branch"] == 2 and kinds(a)["conditional"] == 1 and kinds(a)["logical"] == 1 and kinds(a)["return"] == 2
+    texts = [t[2] for t in a["tokens"]]
+    assert "Don't worry, it's empty &amp; fine" in texts and "many" in texts and "/* all of them */" in texts and "data-x" in texts
+    assert all(t[1] == "literal" for t in a["tokens"] if t[2] in ("'red'", '"M0"', "'1'", "'one'"))
+    for name, source in (("a.ts", "const f = <T>(x: T) => <any>x;\n"), ("a.js", "for (let i = 0; i < n; i++) { a<b; x = a <c> (d) }\n"), ("a.tsx", "const f = <T extends object>(x: T): x is T => a < b;\n")):
+        assert kinds(read(name, source))["function"] <= 1
+    for broken in ("const a = <div>x;", "const a = <div x=>y</div>;", "const a = <div>{x</div>;"):
+        with pytest.raises(frontend.ParseError):
+            read("a.jsx", broken)
+
+
 def test_java():
     a = read("A.java", "package p;\nimport java.util.*;\npublic class A<T> extends B implements C {\n  private final int x = 1;\n  A(int... n) { this.x = n[0]; }\n  @Override public <U> List<U> run(final Map<String, int[]> m, int k) throws E {\n    int r = switch (k) { case 1, 2 -> 3; default -> { yield 4; } };\n    Runnable q = () -> m.forEach((a, b) -> go(a));\n    for (String s : m.keySet()) if (s instanceof String t && !t.isEmpty()) continue;\n    return new ArrayList<U>() { public int size() { return 0; } };\n  }\n  enum E { X(1) { void f() {} }, Y; E() {} }\n}\n")
     assert [f[1] for f in a["functions"]] == ["A", "run", None, None, "size", "f", "E"]
