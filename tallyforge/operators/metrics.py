@@ -261,19 +261,28 @@ def name_depths(edges: DataFrame, names: DataFrame) -> DataFrame:
     return rows.groupBy("project").applyInPandas(run, "project string, name string, depth long")
 
 
+def fan_out(called: DataFrame) -> DataFrame:
+    """How many names each function calls. called: as calls() gives it."""
+    return called.groupBy(*FUNCTION).agg(F.count(F.lit(1)).cast("double").alias("dependency_fan_out"))
+
+
+def fan_in(called: DataFrame, names: DataFrame) -> DataFrame:
+    """How many functions call each of the names (project, name), which 0 do not show."""
+    inside = called.join(names.withColumnRenamed("name", "label"), ["project", "label"], "left_semi")
+    return inside.groupBy("project", F.col("label").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("dependency_fan_in"))
+
+
 def dependency_by_function(f: Facts) -> DataFrame:
     called = calls(f)
-    fan_out = called.groupBy(*FUNCTION).agg(F.count(F.lit(1)).cast("double").alias("dependency_fan_out"))
     names = f.functions.filter("name IS NOT NULL").select("project", "name").distinct()
     inside = called.join(names.withColumnRenamed("name", "label"), ["project", "label"], "left_semi")
-    fan_in = inside.groupBy("project", F.col("label").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("dependency_fan_in"))
     fns = f.functions.select(*FUNCTION, "name")
     callers = inside.join(fns, FUNCTION)
     edges = callers.filter("name IS NOT NULL").select("project", F.col("name").alias("caller"), F.col("label").alias("callee"))
     depths = name_depths(edges, names)
     anonymous = callers.filter("name IS NULL").select(*FUNCTION, "label").join(depths.withColumnRenamed("name", "label"), ["project", "label"])
     anonymous = anonymous.groupBy(*FUNCTION).agg((F.max("depth") + 1).alias("own_depth"))
-    out = fns.join(fan_out, FUNCTION, "left").join(fan_in, ["project", "name"], "left").join(depths, ["project", "name"], "left").join(anonymous, FUNCTION, "left")
+    out = fns.join(fan_out(called), FUNCTION, "left").join(fan_in(called, names), ["project", "name"], "left").join(depths, ["project", "name"], "left").join(anonymous, FUNCTION, "left")
     zero = F.lit(0.0)
     return out.select(*FUNCTION, F.coalesce("dependency_fan_out", zero).alias("dependency_fan_out"), F.coalesce("dependency_fan_in", zero).alias("dependency_fan_in"), F.coalesce("depth", "own_depth", F.lit(0)).cast("double").alias("dependency_call_depth"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import registry
 
+_SAME = F.expr("function IS NULL OR function = unit_function")
 NOTICE = "Experimental: this model only reflects the labels it was trained on; it is no general measure of quality."
 FOLDS = 5
 
@@ -83,6 +84,19 @@ def label_scope(labels: list[Label]) -> str:
     return "function" if kinds == {True} else "file"
 
 
+def _first_units(units: DataFrame) -> DataFrame:
+    """The units of the first result that has their path."""
+    first = units.groupBy("path").agg(F.min("result_no").alias("result_no"))
+    return units.join(first, ["path", "result_no"]).withColumnRenamed("function", "unit_function")
+
+
+def label_matches(units: DataFrame, labels: DataFrame) -> DataFrame:
+    """row_idx, path, function, n (units that the label meets), in_path (units of its path). labels: row_idx, path, function;
+    without a function a label means the unit of the whole file."""
+    met = labels.join(_first_units(units), "path", "left").groupBy("row_idx", "path", "function")
+    return met.agg(F.count_if(_SAME & F.col("result_no").isNotNull()).alias("n"), F.count("result_no").alias("in_path"))
+
+
 def join_labels(units: DataFrame, failed: list[str], labels: list[Label]) -> DataFrame:
     """Labels with their unit's metrics, numbered in label order. units: as sinks.output.units gives them.
 
@@ -90,18 +104,14 @@ def join_labels(units: DataFrame, failed: list[str], labels: list[Label]) -> Dat
     """
     spark = units.sparkSession
     table = spark.createDataFrame([(k, x.path, x.function, x.score) for k, x in enumerate(labels)], "row_idx int, path string, function string, score double")
-    first = units.groupBy("path").agg(F.min("result_no").alias("result_no"))
-    own = units.join(first, ["path", "result_no"]).withColumnRenamed("function", "unit_function")
-    same = F.col("function").isNull() | (F.col("function") == F.col("unit_function"))
-    met = table.join(own, "path", "left").groupBy("row_idx", "path", "function").agg(F.count_if(same & F.col("result_no").isNotNull()).alias("n"), F.count("result_no").alias("in_path")).orderBy("row_idx")
-    for r in met.filter("n <> 1").limit(1).collect():
+    for r in label_matches(units, table).filter("n <> 1").orderBy("row_idx").limit(1).collect():
         if r.path in failed and not r.in_path:
             raise ValueError(f"labels: {r.path} could not be parsed; remove its label")
         if r.function is None or not r.n:
             what = f"function {r.function} in {r.path}" if r.function and r.in_path else r.path
             raise ValueError(f"labels: {what} is not in the results; analyze it or remove the label")
         raise ValueError(f"labels: {r.path} has several functions named {r.function}; remove the label")
-    return table.join(own, "path").filter(same)
+    return table.join(_first_units(units), "path").filter(_SAME)
 
 
 def _solve(gram: np.ndarray, xy: np.ndarray, lam: float) -> np.ndarray:

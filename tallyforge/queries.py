@@ -1,8 +1,8 @@
 """The operators as queries over the driver's tables, with the same results as DuckDB SQL.
 
 The tables hold no source files. Token and line operators run over documents.text through the text adapter's pattern;
-scripts cut from pages go through the real JavaScript front end; statistics and the model run over numeric tables; tree
-operators run over rows written out on both sides.
+scripts cut from pages go through the real JavaScript front end; statistics and the model run over numeric tables; some
+tree operators run over 20 rows written out on both sides. code_queries has those that run over generated programs.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frontend.text_front import PATTERN
+from . import code_queries
 from .operators import duplication, metrics, model, stats
 from .operators.parse import Facts, facts, parse
 
@@ -167,13 +168,6 @@ each_run AS (SELECT doc_id, any_value(source) AS source, k, max(s) - min(s) + 50
 SELECT {head}, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS blocks, CAST(max(n) AS BIGINT) AS longest FROM each_run GROUP BY {head}"""
 
 
-def result_csv_rows(spark, sf_dir):
-    """Numbers as the CSV sink writes them: bare where whole, empty where null."""
-    t = derived_tokens_per_loc(spark, sf_dir)
-    whole = F.col("tokens_per_loc") == F.floor("tokens_per_loc")
-    return t.select("doc_id", F.when(F.col("tokens_per_loc").isNull(), "").when(whole, F.col("tokens_per_loc").cast("bigint").cast("string")).otherwise("~").alias("cell"))
-
-
 def result_long(spark, sf_dir):
     """A few measures of each source in the long form: metric, value, reason."""
     h = halstead_by_source(spark, sf_dir)
@@ -182,19 +176,16 @@ def result_long(spark, sf_dir):
     return rows.withColumn("reason", F.when(F.col("value").isNull(), "not_applicable"))
 
 
-def failed_files_union(spark, sf_dir):
-    """Documents with and without text, one table of ok and error rows."""
-    docs = _table(spark, sf_dir, "documents").withColumn("bad", F.col("text").contains("�") | (F.length("text") < 20))
-    ok = docs.filter("NOT bad").select("doc_id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
-    return ok.unionByName(docs.filter("bad").select("doc_id", F.lit("error").alias("status"), F.lit("too short").alias("error")))
+# -- scripts of pages, through the JavaScript front end
 
 
-# -- scripts of pages, through the JavaScript front end
+#: Fixed value: a script's code in a page.
+SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script"
 
 
 def _scripts(spark, sf_dir) -> Facts:
     pages = _table(spark, sf_dir, "pages")
-    body = F.regexp_extract("html", "<script>(.*?)</script>", 1)
+    body = F.array_join(F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1)), "\n")  # all scripts of a page
     src = pages.select(F.lit("pages").alias("project"), F.concat(F.col("page_id").cast("string"), F.lit(".js")).alias("path"), body.cast("binary").alias("content"), F.lit("javascript").alias("language"))
     return parse(src)
 
@@ -211,7 +202,7 @@ def js_metrics(spark, sf_dir):
 JS_SQL = """SELECT page_id, len(regexp_extract_all(b, '"(?:[^"])*"|[A-Za-z_]\\w*|[0-9]+|[^\\sA-Za-z0-9_]')) AS token_count,
  2::BIGINT AS statement_count, 0::BIGINT AS function_count, 0::BIGINT AS cyclomatic, 1::BIGINT AS call_count, 1::BIGINT AS expression_count,
  3::BIGINT AS unique_operators, len(list_distinct(list_filter(regexp_extract_all(b, '"(?:[^"])*"|[A-Za-z_]\\w*|[0-9]+'), lambda w: w <> 'var'))) AS unique_operands, 1::BIGINT AS loc
-FROM (SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1) AS b FROM pages)"""
+FROM (SELECT page_id, array_to_string(regexp_extract_all(html, '""" + SCRIPT + """', 1), chr(10)) AS b FROM pages)"""
 
 
 def js_status(spark, sf_dir):
@@ -277,16 +268,23 @@ def nodes_by_file(spark, sf_dir):
 # -- graphs and statistics over numeric tables
 
 
+def _orders_as_calls(spark, sf_dir) -> Facts:
+    """Orders as functions of one file, the parts they name as calls."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.lit("p").alias("project"), F.lit("a").alias("path"), F.col("l_orderkey").alias("owner_fn"), F.lit("call").alias("kind"), F.col("l_partkey").cast("string").alias("label"))
+    return Facts(None, lines, None, None)
+
+
 def fan_out_orders(spark, sf_dir):
     """Distinct parts that an order names: distinct callees of a caller."""
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct().groupBy("l_orderkey").agg(_whole(F.count(F.lit(1)), "fan_out"))
+    n = metrics.fan_out(metrics.calls(_orders_as_calls(spark, sf_dir)))
+    return n.select(F.col("fn_id").alias("l_orderkey"), _whole("dependency_fan_out", "fan_out"))
 
 
 def fan_in_parts(spark, sf_dir):
     """Distinct orders that name a part; parts that none names have 0."""
-    parts = _table(spark, sf_dir, "part").select("p_partkey")
-    n = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct().groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return parts.join(n, parts["p_partkey"] == n["l_partkey"], "left").select("p_partkey", _whole(F.coalesce("n", F.lit(0)), "fan_in"))
+    names = _table(spark, sf_dir, "part").select(F.lit("p").alias("project"), F.col("p_partkey").cast("string").alias("name"))
+    n = metrics.fan_in(metrics.calls(_orders_as_calls(spark, sf_dir)), names)
+    return names.join(n, ["project", "name"], "left").select(F.col("name").cast("bigint").alias("p_partkey"), _whole(F.coalesce("dependency_fan_in", F.lit(0)), "fan_in"))
 
 
 def call_depth_regions(spark, sf_dir):
@@ -306,17 +304,6 @@ w AS (SELECT name, name AS here, 0 AS d FROM v UNION ALL SELECT w.name, e.b, w.d
 SELECT name, CAST(max(d) AS BIGINT) AS depth FROM w GROUP BY name"""
 
 
-def imports_by_lang(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
-    return d.groupBy("lang").agg(_whole(F.count_if(F.col("text").contains("License")), "n"), _whole(F.count(F.lit(1)), "files"))
-
-
-def documented_ratio(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
-    n = d.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count("quality").alias("n"))
-    return n.select("lang", _whole("k", "documented"), _r(F.try_divide(F.col("k").cast("double"), F.col("n").cast("double")), "ratio"))
-
-
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
@@ -379,14 +366,10 @@ def hist_extendedprice(spark, sf_dir):
 
 
 def medians_pivot(spark, sf_dir):
-    m = stats.medians_by_language(_table(spark, sf_dir, "documents"), ["n_chars"], ["de", "en", "es", "fr"], "lang")
-    return m.select("metric", *[_r(x, x) for x in ("de", "en", "es", "fr")])
-
-
-def label_join_checks(spark, sf_dir):
-    """Labels that meet a document, by what they meet."""
-    labels, docs = _table(spark, sf_dir, "labels"), _table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.lit(1).alias("hit"))
-    return labels.join(docs, "doc_id", "left").groupBy(F.when(F.col("hit").isNull(), "missing").otherwise("found").alias("status")).agg(_whole(F.count(F.lit(1)), "n"))
+    docs = _table(spark, sf_dir, "documents")
+    languages = sorted(r[0] for r in docs.select("lang").distinct().collect() if r[0])  # a column each
+    m = stats.medians_by_language(docs, ["n_chars"], languages, "lang")
+    return m.select("metric", *[_r(x, x) for x in languages])
 
 
 def _ridge_rows(spark, sf_dir) -> DataFrame:
@@ -402,7 +385,7 @@ def ridge_fit_quality(spark, sf_dir):
 def ridge_predict_quality(spark, sf_dir):
     rows = _ridge_rows(spark, sf_dir)
     m = model.fit(rows, "file", ["x"], lam=1.0, public=str)
-    units = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 3, F.col("n_chars").cast("double")).alias("x"))
+    units = _table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("x"))
     return model.predict(m, units, column=str).select("doc_id", _r("score", "score"), "unavailable")
 
 
@@ -416,18 +399,18 @@ cv AS (SELECT sqrt(sum((y - (my + b * (x - mx) / sx)) ** 2) / count(*)) AS e FRO
 SELECT n, round(mx, 6) AS mean, round(sx, 6) AS sd, round(b, 6) AS coefficient, round(my, 6) AS intercept,
  round((SELECT 1 - sum((y - (my + b * (x - mx) / sx)) ** 2) / sum((y - my) ** 2) FROM xy, fit), 6) AS r_squared, round((SELECT e FROM cv), 6) AS cv_rmse FROM fit"""
 RIDGE_PREDICT_SQL = f"""WITH {_XY}, {_FIT}
-SELECT doc_id, CASE WHEN doc_id % 10 <> 3 THEN round(my + (n_chars - mx) / sx * b, 6) END AS score, CASE WHEN doc_id % 10 = 3 THEN 'x is null' END AS unavailable FROM documents, fit"""
+SELECT doc_id, round(my + (n_chars - mx) / sx * b, 6) AS score, CASE WHEN n_chars IS NULL THEN 'x is null' END AS unavailable FROM documents, fit"""
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         size_loc_by_doc, size_line_classes_by_doc, size_project_totals, size_comment_ratio_project, size_token_count_by_doc, halstead_by_doc, halstead_by_source, halstead_project, derived_mi_by_doc,
-        derived_tokens_per_loc, dup_by_doc, dup_project, result_csv_rows, result_long, failed_files_union, js_metrics, js_status, nodes_branch_counts, nodes_by_file, fan_out_orders, fan_in_parts, call_depth_regions,
-        imports_by_lang, documented_ratio, stats_summary_lineitem, stats_by_language_docs, stats_summary_missing, stats_correlations_lineitem, stats_correlations_orders, stats_corr_zero_variance, stats_rank_ties,
-        hist_extendedprice, medians_pivot, label_join_checks, ridge_fit_quality, ridge_predict_quality,
+        derived_tokens_per_loc, dup_by_doc, dup_project, result_long, js_metrics, js_status, nodes_branch_counts, nodes_by_file, fan_out_orders, fan_in_parts, call_depth_regions,
+        stats_summary_lineitem, stats_by_language_docs, stats_summary_missing, stats_correlations_lineitem, stats_correlations_orders, stats_corr_zero_variance, stats_rank_ties,
+        hist_extendedprice, medians_pivot, ridge_fit_quality, ridge_predict_quality,
     )
-}
+} | code_queries.QUERIES
 
 _LOC_SQL = "CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text[-1:] = chr(10) THEN 1 ELSE 0 END END AS BIGINT)"
 _COUNT_SQL = f"CAST(len(regexp_extract_all(text, '{PATTERN}')) AS BIGINT)"
@@ -446,10 +429,8 @@ SELECT doc_id, CASE WHEN volume > 0 AND sloc > 0 THEN round(171 - 5.2::DOUBLE *
     "derived_tokens_per_loc": f"SELECT doc_id, round({_COUNT_SQL}::DOUBLE / nullif({_LOC_SQL}, 0), 6) AS tokens_per_loc FROM documents",
     "dup_by_doc": _dup_sql("doc_id"),
     "dup_project": _dup_sql("source"),
-    "result_csv_rows": f"SELECT doc_id, CASE WHEN v IS NULL THEN '' WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE '~' END AS cell FROM (SELECT doc_id, round({_COUNT_SQL}::DOUBLE / nullif({_LOC_SQL}, 0), 6) AS v FROM documents)",
     "result_long": f"""WITH h AS ({_halstead_sql('source,', 'GROUP BY source')}), r AS (SELECT source, 'halstead.length' AS metric, length::DOUBLE AS value FROM h UNION ALL SELECT source, 'halstead.volume', volume FROM h UNION ALL SELECT source, 'halstead.difficulty', difficulty FROM h)
 SELECT source, metric, value, CASE WHEN value IS NULL THEN 'not_applicable' END AS reason FROM r""",
-    "failed_files_union": "SELECT doc_id, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN 'too short' END AS error FROM (SELECT doc_id, contains(text, '�') OR length(text) < 20 AS bad FROM documents)",
     "js_metrics": JS_SQL,
     "js_status": "SELECT 'javascript' AS language, 'ok' AS status, count(*) AS n FROM pages",
     "nodes_branch_counts": NODES_COUNT_SQL,
@@ -457,8 +438,6 @@ SELECT source, metric, value, CASE WHEN value IS NULL THEN 'not_applicable' END
     "fan_out_orders": "SELECT l_orderkey, count(DISTINCT l_partkey) AS fan_out FROM lineitem GROUP BY l_orderkey",
     "fan_in_parts": "SELECT p_partkey, coalesce(n, 0) AS fan_in FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_partkey) ON p_partkey = l_partkey",
     "call_depth_regions": CALL_DEPTH_SQL,
-    "imports_by_lang": "SELECT lang, count(*) FILTER (contains(text, 'License')) AS n, count(*) AS files FROM documents GROUP BY lang",
-    "documented_ratio": "SELECT lang, count(*) FILTER (quality = 1) AS documented, round(count(*) FILTER (quality = 1)::DOUBLE / nullif(count(quality), 0), 6) AS ratio FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
     "stats_summary_lineitem": _summary_sql("lineitem", _MEASURES),
     "stats_by_language_docs": _summary_sql("documents", ["n_chars"], "lang"),
     "stats_summary_missing": _summary_sql("(SELECT * FROM documents LEFT JOIN labels USING (doc_id))", ["quality", "toxic"]),
@@ -470,7 +449,6 @@ SELECT source, metric, value, CASE WHEN value IS NULL THEN 'not_applicable' END
 c AS (SELECT CAST(least(floor((l_extendedprice - lo) / w), 19) AS BIGINT) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1)
 SELECT r.bin, round(lo + r.bin * w, 6) AS lo, round(CASE WHEN r.bin = 19 THEN hi ELSE lo + (r.bin + 1) * w END, 6) AS hi, coalesce(n, 0) AS n FROM (SELECT unnest(range(20)) AS bin) r CROSS JOIN b LEFT JOIN c USING (bin)""",
     "medians_pivot": "SELECT 'n_chars' AS metric, " + ", ".join(f"round(quantile_cont(CASE WHEN lang = '{x}' THEN n_chars::DOUBLE END, 0.5), 6) AS {x}" for x in ("de", "en", "es", "fr")) + " FROM documents",
-    "label_join_checks": "SELECT CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'found' END AS status, count(*) AS n FROM labels LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d USING (doc_id) GROUP BY 1",
     "ridge_fit_quality": RIDGE_SQL,
     "ridge_predict_quality": RIDGE_PREDICT_SQL,
-}
+} | code_queries.ORACLE
