@@ -129,9 +129,10 @@ def _solve(gram: np.ndarray, xy: np.ndarray, lam: float) -> np.ndarray:
     return out
 
 
-def sums(rows: DataFrame, features: list[str], score: str, fold: Column) -> dict[int, np.ndarray]:
-    """For each fold the sums of products of (1, features, score): all that fits and their errors need."""
-    v = [F.lit(1.0), *[F.col(c).cast("double") for c in features], F.col(score).cast("double")]
+def sums(rows: DataFrame, features: list[str], score: str, fold: Column, centre: list[float]) -> dict[int, np.ndarray]:
+    """For each fold the sums of products of (1, features, score): all that fits and their errors need. centre: what is taken
+    off each column first, near its mean, so that the sums keep the digits of the spread."""
+    v = [F.lit(1.0), *[F.col(c).cast("double") - F.lit(x) for c, x in zip([*features, score], centre, strict=True)]]
     cells = [F.sum(v[i] * v[j]).alias(f"s{i}_{j}") for i in range(len(v)) for j in range(i, len(v))]
     out = {}
     for r in rows.groupBy(fold.alias("fold")).agg(*cells).collect():
@@ -200,7 +201,8 @@ def fit(rows: DataFrame, scope: str, candidates: list[str], features: list[str]
     if lo == hi:
         raise ValueError("model: all labels are equal; label units that differ")
     used, excluded = select_features(rows, candidates, features, public)
-    folds = sums(rows, used, score, F.col(index) % FOLDS)
+    centre = [float(x) for x in rows.agg(*[F.avg(F.col(c).cast("double")) for c in [*used, score]]).first()]
+    folds = sums(rows, used, score, F.col(index) % FOLDS, centre)
     total = sum(folds.values())
     mean, sd, coef, intercept = ridge(total, lam)
     spread = total[-1, -1] - total[0, -1] ** 2 / total[0, 0]
@@ -209,7 +211,7 @@ def fit(rows: DataFrame, scope: str, candidates: list[str], features: list[str]
     if n >= FOLDS:
         errors = sum(squared_error(own, *ridge(total - own, lam)) for own in folds.values())
         cv = math.sqrt(errors / n)
-    return Model(scope, [public(c) for c in used], mean.tolist(), sd.tolist(), coef.tolist(), float(intercept), lam, int(n), float(r2), cv, excluded)
+    return Model(scope, [public(c) for c in used], (mean + centre[:-1]).tolist(), sd.tolist(), coef.tolist(), float(intercept + centre[-1]), lam, int(n), float(r2), cv, excluded)
 
 
 def predict(model: Model, units: DataFrame, column=registry.column) -> DataFrame:
