@@ -109,7 +109,8 @@ def _facts(spark, sf_dir, project=None) -> Facts:
     return facts(parse(sources(_suppliers(spark, sf_dir), own if project is None else project)))
 
 
-_KEY = F.regexp_extract("path", r"^(\d+)", 1).cast("bigint").alias("k")
+def _key() -> Column:
+    return F.regexp_extract("path", r"^(\d+)", 1).cast("bigint").alias("k")
 
 
 def _columns(names: dict[str, str]) -> list[Column]:
@@ -136,12 +137,12 @@ FILE_COLUMNS = PROJECT_COLUMNS | {
 
 def code_functions(spark, sf_dir):
     """Every function of every program, its metrics by the front ends and the function scope."""
-    return metrics.by_function(_facts(spark, sf_dir)).select(_KEY, F.col("name").alias("function"), *_columns(FUNCTION_COLUMNS))
+    return metrics.by_function(_facts(spark, sf_dir)).select(_key(), F.col("name").alias("function"), *_columns(FUNCTION_COLUMNS))
 
 
 def code_files(spark, sf_dir):
     """Every program that parses, by the file scope; the error rows give none."""
-    return metrics.by_file(_facts(spark, sf_dir)).select(_KEY, "language", *_columns(FILE_COLUMNS))
+    return metrics.by_file(_facts(spark, sf_dir)).select(_key(), "language", *_columns(FILE_COLUMNS))
 
 
 def code_projects(spark, sf_dir):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import registry
 
-_SAME = F.expr("function IS NULL OR function = unit_function")
+_SAME = "function IS NULL OR function = unit_function"
 NOTICE = "Experimental: this model only reflects the labels it was trained on; it is no general measure of quality."
 FOLDS = 5
 
@@ -94,7 +94,7 @@ def label_matches(units: DataFrame, labels: DataFrame) -> DataFrame:
     """row_idx, path, function, n (units that the label meets), in_path (units of its path). labels: row_idx, path, function;
     without a function a label means the unit of the whole file."""
     met = labels.join(_first_units(units), "path", "left").groupBy("row_idx", "path", "function")
-    return met.agg(F.count_if(_SAME & F.col("result_no").isNotNull()).alias("n"), F.count("result_no").alias("in_path"))
+    return met.agg(F.count_if(F.expr(f"({_SAME}) AND result_no IS NOT NULL")).alias("n"), F.count("result_no").alias("in_path"))
 
 
 def join_labels(units: DataFrame, failed: list[str], labels: list[Label]) -> DataFrame:
