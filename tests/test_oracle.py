@@ -30,3 +30,12 @@ def test_equal_to_sql(spark, con, name):
     columns = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+def test_the_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=top, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout) >= len(queries.QUERIES), done.stderr
