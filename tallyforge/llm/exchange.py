@@ -95,8 +95,8 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def requests(docs: DataFrame, words_of: Callable, buckets: int) -> DataFrame:
-    """asked(), dealt by bucket."""
-    return asked(docs, words_of, buckets).repartition(min(buckets, max(width(docs), 8)), "bucket")
+    """asked(), dealt by bucket, one bucket after the other."""
+    return asked(docs, words_of, buckets).repartition(min(buckets, max(width(docs), 8)), "bucket").sortWithinPartitions("bucket")
 
 
 def asked(docs: DataFrame, words_of: Callable[[list, list[str]], tuple[dict, object]], buckets: int) -> DataFrame:
@@ -125,13 +125,16 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def answered(dealt_out: DataFrame, value: Callable) -> DataFrame:
-    """value(): made once in each task; gives a function from a word to its value, which is called once a word."""
+    """value(): made once in each task; gives a function from a word to its value, which is called once a word. A bucket's
+    words are held while it lasts. dealt_out: as requests() gives it."""
 
     def run(batches):
         gc.disable()
-        of, known = value(), {}
+        of, known, at = value(), {}, None
         for batch in batches:
             for k, key, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != at:
+                    at, known = k, {}
                 words = unpack(payload)[0]
                 for w in words:
                     if w not in known:

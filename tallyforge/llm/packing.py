@@ -4,7 +4,8 @@ Documents are encoded and cut into pieces of at most `limit` tokens. The histogr
 bins, whatever the corpus; the driver runs best-fit decreasing on these counts, moving whole runs of equal sequences at a
 time, and writes the plan as runs: pieces of length L with ranks a..b take sequences from s at offset o. Pieces take
 their planned places by a join on (length, rank). Ranks are dealt within salted parts of a length and shifted by the
-parts before, so a length that a third of all pieces share isn't one task.
+parts before; there are as many parts as hold the commonest length to `part_rows` rows each, so a length that most pieces
+share isn't one task.
 
 Encoding uses the vocabulary's ranks in a faster library than the one the file is made for; both apply the same merges
 to the matches of the same pattern, and tests hold their ids against each other.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import USUAL, spans
 from .common import Scratch, read, text_of
 
-LIMIT, END, SALTS = 1024, 2, 64
+LIMIT, END, PART_ROWS = 1024, 2, 200_000
 #: Spans that a worker remembers the ids of.
 REMEMBER = 400_000
 
@@ -169,19 +170,21 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, int, i
     return runs
 
 
-def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, with_ids: bool = False, part_rows: int = PART_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     made = pieces(docs, tokenizer, limit, end, with_ids, id_col, text_col)
-    rows = scratch.table(made.withColumn("salt", F.spark_partition_id() % SALTS))  # fixes the salt; what follows may run again
+    rows = scratch.table(made.withColumn("no", F.monotonically_increasing_id()))  # fixes the number; what follows may run again
+    counts = {r[0]: r[1] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= limit rows
+    salts = max(1, -(-max(counts.values(), default=1) // part_rows))  # so a part of a length has about part_rows rows at most
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("no"), F.lit(salts)))
     parts = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r[0]: r[1] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= limit rows
     runs = json.dumps([dict(zip(("l", "lo", "hi", "s", "o"), r, strict=True)) for r in plan(counts, limit)])
     table = spark.range(1).select(F.inline(F.from_json(F.lit(runs), "array<struct<l:bigint,lo:bigint,hi:bigint,s:bigint,o:bigint>>")).alias("l", "lo", "hi", "s", "o"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("no")) - 1
     ranked = rows.withColumn("within", within).join(parts, ["length", "salt"]).withColumn("rank", F.col("within") + F.col("before"))
     out = ranked.join(F.broadcast(table), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
