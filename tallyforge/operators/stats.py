@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +42,60 @@ def average_rank(value: str, partition: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*partition).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, value)) - 1) / F.lit(2.0)
 
 
+def _moments(arrays: DataFrame, k: int, centre: list[float]) -> DataFrame:
+    """i, j, n, sx, sy, sxx, syy, sxy of each pair of columns over the rows of arrays (v array<double>) where both have a
+    value, less the centre: a row for each task and pair, so what is shuffled doesn't grow with the rows."""
+    first, second = np.triu_indices(k, 1)
+
+    def run(batches):
+        total = np.zeros((4, k, k))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)  # nulls come as NaN
+            there = ~np.isnan(x)
+            x = np.where(there, x - centre, 0.0)
+            m = there.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        n, s, q, p = total
+        columns = [first, second, n[first, second], s[first, second], s[second, first], q[first, second], q[second, first], p[first, second]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if t < 2 else pa.float64()) for t, c in enumerate(columns)], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    parts = arrays.select("v").mapInArrow(run, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+
+def _r_of_moments() -> Column:
+    """Pearson's r; null below three pairs or where a variance is nothing but rounding."""
+    spread = lambda s, q: F.col(q) - F.col(s) * F.col(s) / F.col("n")
+    vx, vy = spread("sx", "sxx"), spread("sy", "syy")
+    varies = (F.col("n") >= 3) & (vx > F.col("sxx") * 1e-13) & (vy > F.col("syy") * 1e-13)
+    return F.when(varies, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, n, pearson, spearman of each pair of columns, over the rows where both have a value."""
-    pairs = [(k, a, b, columns.index(a), columns.index(b)) for k, (a, b) in enumerate(combinations(columns, 2))]
-    spine = df.sparkSession.createDataFrame(pairs, "k int, a string, b string, i int, j int")
+    """a, b, n, pearson, spearman of each pair of columns, over the rows where both have a value.
+
+    Pearson's r comes from sums of products that each task makes for all pairs at once. Ranks are dealt once a column; a
+    pair with a column that misses values is ranked by itself, over the rows where both have one.
+    """
+    k, pairs = len(columns), [(a, b, i, j) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
+    spine = df.sparkSession.createDataFrame(pairs, "a string, b string, i int, j int")
     if not pairs:
         return spine.select("a", "b", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("pearson"), F.lit(None).cast("double").alias("spearman"))
-    # the pairs are a fixed table that meets each row by number: an expression for each pair would make plans of thousands
-    wide = df.select(F.array(*[finite(c) for c in columns]).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("k"))
-    rows = wide.join(F.broadcast(spine), "k").select("a", "b", F.col("v")[F.col("i")].alias("x"), F.col("v")[F.col("j")].alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-    ranked = rows.withColumn("rx", average_rank("x", ["a", "b"])).withColumn("ry", average_rank("y", ["a", "b"]))
-    out = ranked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), _guarded(F.col("x"), F.col("y")).alias("pearson"), _guarded(F.col("rx"), F.col("ry")).alias("spearman"))
-    return spine.join(out, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "pearson", "spearman")
+    values = df.select(F.array(*[finite(c) for c in columns]).alias("v"))
+    known = values.agg(F.count(F.lit(1)).alias("n"), *[x for i in range(k) for x in (F.count(F.col("v")[i]).alias(f"n{i}"), F.min(F.col("v")[i]).alias(f"m{i}"))]).first()
+    whole = {i for i in range(k) if known[f"n{i}"] == known["n"]}
+    plain = _moments(values, k, [known[f"m{i}"] or 0.0 for i in range(k)]).select("i", "j", F.col("n").cast("long").alias("n"), _r_of_moments().alias("pearson"))
+    long = values.withColumn("row", F.monotonically_increasing_id()).select("row", F.posexplode("v").alias("c", "x"))
+    ranked = long.filter(F.col("c").isin(sorted(whole))).select("row", "c", average_rank("x", ["c"]).alias("r"))
+    ranks = ranked.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("c", "r"))).alias("m")).select(F.array(*[F.col("m")[i] for i in range(k)]).alias("v"))
+    spearman = _moments(ranks, k, [(known["n"] + 1) / 2] * k).filter(F.col("i").isin(sorted(whole)) & F.col("j").isin(sorted(whole))).select("i", "j", _r_of_moments().alias("spearman"))
+    if len(whole) < k:
+        rows = values.select("v", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for _, _, i, j in pairs if not {i, j} <= whole])).alias("p"))
+        rows = rows.select("p.i", "p.j", F.col("v")[F.col("p.i")].alias("x"), F.col("v")[F.col("p.j")].alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+        own = rows.withColumn("rx", average_rank("x", ["i", "j"])).withColumn("ry", average_rank("y", ["i", "j"]))
+        spearman = spearman.unionByName(own.groupBy("i", "j").agg(_guarded(F.col("rx"), F.col("ry")).alias("spearman")))
+    out = spine.join(plain, ["i", "j"], "left").join(spearman, ["i", "j"], "left")
+    return out.select("a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "pearson", "spearman")
 
 
 def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """Statistics, the model, sinks, the command line, HTTP and streaming."""
 
+import itertools
 import json
 import math
 import os
+import random
 import threading
 import urllib.error
 import urllib.request
@@ -41,6 +43,35 @@ def test_correlations(spark):
     assert [x.r for x in ranks] == [1.5, 1.5, 3, 4]
 
 
+def test_correlations_by_hand(spark):
+    """Random columns with ties and gaps, a constant far from zero, one that is constant where another has values."""
+    rnd = random.Random(2)
+    table = []
+    for i in range(200):
+        x = rnd.gauss(1e6, 1)
+        table.append((x, x * 2 + rnd.gauss(0, 1), float(rnd.randrange(5)), 1e9 + 0.1, rnd.choice([None, math.nan, 7.25, float(i)]), None if i % 2 else 0.1, float(i % 2)))
+    columns = list("abcdefg")
+    got = {(r.a, r.b): r for r in stats.correlations(spark.createDataFrame(table, ", ".join(f"{c} double" for c in columns)).repartition(3), columns).collect()}
+
+    def ranks(v):
+        return [sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v]
+
+    def r(x, y):
+        n = len(x)
+        mx, my = sum(x) / n if n else 0, sum(y) / n if n else 0
+        if n < 3 or len(set(x)) == 1 or len(set(y)) == 1:
+            return None
+        return sum((p - mx) * (q - my) for p, q in zip(x, y)) / math.sqrt(sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y))
+
+    for i, j in itertools.combinations(range(7), 2):
+        both = [(t[i], t[j]) for t in table if t[i] is not None and t[j] is not None and not math.isnan(t[i]) and not math.isnan(t[j])]
+        x, y = [p for p, _ in both], [q for _, q in both]
+        own = got[columns[i], columns[j]]
+        assert own.n == len(both)
+        for have, want in ((own.pearson, r(x, y)), (own.spearman, r(ranks(x), ranks(y)))):
+            assert (have is None) == (want is None) and (want is None or have == pytest.approx(want, abs=1e-8)), (i, j)
+
+
 def test_histogram(spark):
     bins = stats.histogram(spark.createDataFrame([(1.0,), (2.0,), (2.0,), (10.0,)], "v double"), "v", 3).orderBy("bin").collect()
     assert [(b.lo, b.hi, b.n) for b in bins] == [(1, 4, 3), (4, 7, 0), (7, 10, 1)]
