@@ -88,7 +88,8 @@ def run(args: argparse.Namespace) -> int:
 
     spark = session()
     if args.command == "analyze":
-        made = output.to_dict(analyze(spark, args.path, args.project))
+        with analyze(spark, args.path, args.project) as result:
+            made = output.to_dict(result)
         for f in made["files"]:
             if f["status"] == "error":
                 print(f"warning: {f['error']}", file=sys.stderr)

@@ -64,7 +64,8 @@ def server(spark, bind: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPSer
 
     def analyze(filename: str, source: str) -> dict:
         with lock:
-            return output.to_dict(analyze_source(spark, filename, source))
+            with analyze_source(spark, filename, source) as result:
+                return output.to_dict(result)
 
     return ThreadingHTTPServer((bind, port), handler(analyze))
 

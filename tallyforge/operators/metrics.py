@@ -79,8 +79,10 @@ def _node_aggregates() -> list[Column]:
 
 
 def _with_cognitive(f: Facts) -> DataFrame:
-    names = f.functions.select(*FILE, F.col("fn_id").alias("owner_fn"), F.col("name").alias("owner_name"))
-    nodes = f.nodes.join(names, [*FILE, "owner_fn"], "left")
+    nodes = f.nodes
+    if "owner_name" not in nodes.columns:
+        names = f.functions.select(*FILE, F.col("fn_id").alias("owner_fn"), F.col("name").alias("owner_name"))
+        nodes = nodes.join(names, [*FILE, "owner_fn"], "left")
     return nodes.withColumn("cog", F.when(F.col("owner_fn").isNotNull(), cognitive_increment(F.col("owner_name"))))
 
 
@@ -113,9 +115,18 @@ def halstead(n1: Column, n2: Column, t1: Column, t2: Column) -> dict[str, Column
     }
 
 
+def token_texts(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, role, text, n: how often each text occurs in a role."""
+    role = F.when(is_operator(), "operator").when(is_operand(), "operand").alias("role")
+    return tokens.filter("kind <> 'comment'").groupBy(*keys, role, "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """token_count and the counts behind Halstead, by keys. Texts are counted first, so distinct ones need no second shuffle of tokens."""
-    texts = tokens.filter("kind <> 'comment'").groupBy(*keys, F.when(is_operator(), "operator").when(is_operand(), "operand").alias("role"), "text").agg(F.count(F.lit(1)).alias("n"))
+    return _of_texts(token_texts(tokens, keys), keys)
+
+
+def _of_texts(texts: DataFrame, keys: list[str]) -> DataFrame:
     return texts.groupBy(*keys).agg(
         F.sum("n").cast("double").alias("size_token_count"),
         n_if(F.col("role") == "operator").alias("n1"),
@@ -130,11 +141,13 @@ def tokens_by_function(f: Facts) -> DataFrame:
 
 
 def tokens_by_file(f: Facts) -> DataFrame:
-    return _tokens(f.tokens, FILE)
+    return _tokens(f.tokens, FILE) if f.texts is None else _of_texts(f.texts, FILE)
 
 
 def tokens_by_project(f: Facts) -> DataFrame:
-    return _tokens(f.tokens, PROJECT)
+    if f.texts is None:
+        return _tokens(f.tokens, PROJECT)
+    return _of_texts(f.texts.groupBy(*PROJECT, "role", "text").agg(F.sum("n").alias("n")), PROJECT)
 
 
 def line_rows(f: Facts) -> DataFrame:
@@ -345,7 +358,10 @@ def _ratios(df: DataFrame) -> DataFrame:
     })
 
 
-def _file_sums(f: Facts) -> DataFrame:
+def file_sums(f: Facts) -> DataFrame:
+    """A row for each file: what files and projects are computed from."""
+    if f.sums is not None:
+        return f.sums
     out = f.files.select(*FILE, "language")
     for part in (lines_by_file(f), nodes_by_file(f), tokens_by_file(f), functions_by(f, FILE)):
         out = out.join(part, FILE, "left")
@@ -354,7 +370,7 @@ def _file_sums(f: Facts) -> DataFrame:
 
 def by_file(f: Facts) -> DataFrame:
     """Every L metric of every file, with its language and error."""
-    out = _zero(_file_sums(f).join(duplication.by_file(f.coded()), FILE, "left"), *DUPLICATES)
+    out = _zero(file_sums(f).join(duplication.by_file(f.coded()), FILE, "left"), *DUPLICATES)
     out = _ratios(out)
     out = out.withColumn("maintainability_index", maintainability(F.col("halstead_volume"), F.col("complexity_cyclomatic"), F.col("size_sloc")))
     return out.select(*FILE, "language", "line_error", *[registry.column(m) for m in registry.ids("L")])
@@ -364,7 +380,7 @@ def by_project(f: Facts, projects: DataFrame | None = None) -> DataFrame:
     """Every P metric of every project. projects: names that shall have a row even without any file."""
     sums = ["size_loc", "size_sloc", "size_comment_loc", "size_blank_loc", "size_statement_count", "size_function_count", "length_sum", "params_sum", "documentation_documented_function_count", "dependency_dependency_count"] + [c for c in NODE_COUNTS if c != "nesting_max_depth"]
     most = ["nesting_max_depth", "size_max_function_length", "function_max_parameter_count"]
-    files = _file_sums(f)
+    files = file_sums(f)
     totals = files.groupBy("project").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in most], F.min_by("line_error", F.when(F.col("line_error").isNotNull(), F.col("path"))).alias("line_error"))
     out = projects.select("project").distinct().join(totals, "project", "left") if projects is not None else totals
     out = out.join(tokens_by_project(f), "project", "left").join(duplication.by_project(f.coded()), "project", "left")

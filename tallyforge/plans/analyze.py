@@ -28,6 +28,18 @@ class Result:
     files: DataFrame
     projects: DataFrame
     info: dict = field(default_factory=dict)
+    kept: list[DataFrame] = field(default_factory=list)  # what the session's storage holds for it
+
+    def __enter__(self) -> Result:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+    def release(self) -> None:
+        """Frees the session's storage; the tables can still be read, from the sources again."""
+        while self.kept:
+            self.kept.pop().unpersist()
 
     def long(self) -> DataFrame:
         """One row for each scope, unit and metric, and one for each failed file."""
@@ -50,11 +62,14 @@ class Result:
         self.projects.createOrReplaceTempView(f"{prefix}_projects")
 
 
-def from_facts(f: Facts, parsed: DataFrame, projects: DataFrame | None = None, info: dict | None = None, keep: bool = True) -> Result:
-    """keep: lines, which all scopes read, are kept in the session's storage."""
+def from_facts(f: Facts, parsed: DataFrame, projects: DataFrame | None = None, info: dict | None = None, keep: bool = True, kept: list[DataFrame] | None = None) -> Result:
+    """kept: what the result shall release. keep: what several scopes read (lines, counted texts and the sums of files) is kept in the session's storage."""
     if keep:
         f.lines = metrics.line_rows(f).persist()
-    return Result(parsed.select("project", "path", "language", "status", "error"), metrics.by_function(f), metrics.by_file(f), metrics.by_project(f, projects), info or {})
+        f.texts = metrics.token_texts(f.tokens, metrics.FILE).persist()
+        f.sums = metrics.file_sums(f).persist()
+    own = [x for x in (*(kept or []), f.lines, f.texts, f.sums) if x is not None]
+    return Result(parsed.select("project", "path", "language", "status", "error"), metrics.by_function(f), metrics.by_file(f), metrics.by_project(f, projects), info or {}, own)
 
 
 def analyze_table(table: DataFrame, store: str | None = None) -> Result:
@@ -66,7 +81,7 @@ def analyze_table(table: DataFrame, store: str | None = None) -> Result:
         parsed = table.sparkSession.read.parquet(store)
     else:
         parsed = parsed.persist()
-    return from_facts(facts(parsed), parsed, table, keep=store is None)
+    return from_facts(facts(parsed), parsed, table, keep=store is None, kept=[] if store else [parsed])
 
 
 def analyze(spark: SparkSession, path: str, project: str | None = None) -> Result:
@@ -76,7 +91,7 @@ def analyze(spark: SparkSession, path: str, project: str | None = None) -> Resul
     parsed = parse(with_language(table)).persist()
     repository, commit = sources.git_info(path)
     info = run_info(parsed, name, repository, commit)
-    return from_facts(facts(parsed), parsed, spark.createDataFrame([(name,)], "project string"), info)
+    return from_facts(facts(parsed), parsed, spark.createDataFrame([(name,)], "project string"), info, kept=[parsed])
 
 
 def run_info(parsed: DataFrame, project: str, repository: str | None = None, commit: str | None = None) -> dict:
@@ -91,9 +106,10 @@ def analyze_source(spark: SparkSession, filename: str, source: str) -> Result:
     parsed = parse(with_language(table)).persist()
     failed = parsed.filter("status = 'error'").first()
     if failed:
+        parsed.unpersist()
         raise ValueError(failed.error)
     name = table.first().project
-    return from_facts(facts(parsed), parsed, table.select("project"), run_info(parsed, name))
+    return from_facts(facts(parsed), parsed, table.select("project"), run_info(parsed, name), kept=[parsed])
 
 
 def metric_columns(scope: str) -> list[str]:

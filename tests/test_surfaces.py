@@ -112,7 +112,12 @@ def test_labels():
 
 @pytest.fixture(scope="module")
 def made(spark):
-    return output.to_dict(plan.analyze(spark, HERE, "fixtures"))
+    with plan.analyze(spark, HERE, "fixtures") as result:
+        made = output.to_dict(result)
+        assert result.kept and all(x.is_cached for x in result.kept)
+        own = [*result.kept]
+    assert not result.kept and not any(x.is_cached for x in own)
+    return made
 
 
 def test_json_csv_html(spark, made):
