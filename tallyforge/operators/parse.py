@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +23,18 @@ def with_language(sources: DataFrame) -> DataFrame:
     return sources.withColumn("ext", ext).join(F.broadcast(table), "ext").drop("ext")
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow array. Lists of tuples are turned into a column for each field first, which is several times faster."""
+    if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)):
+        return pa.array(values, kind)
+    ends = [0, *accumulate(len(v) if v else 0 for v in values)]
+    offsets = pa.array([None if v is None else at for v, at in zip(values, ends, strict=False)] + ends[-1:], pa.int32())
+    fields = list(kind.value_type)
+    flat = list(zip(*chain.from_iterable(v for v in values if v), strict=True)) or [()] * len(fields)
+    inner = pa.StructArray.from_arrays([_column(list(c), f.type) for c, f in zip(flat, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(offsets, inner, type=kind)
+
+
 def parse(sources: DataFrame) -> DataFrame:
     """One row for each file of sources (project, path, content, language): schema.PARSED.
 
@@ -48,9 +61,9 @@ def parse(sources: DataFrame) -> DataFrame:
                     column.append(x)
                 size += len(content or b"")
                 if size > 4 << 20:  # bounds what a batch of rows holds
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+                    yield pa.RecordBatch.from_arrays([_column(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
                     columns, size = [[] for _ in types], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+            yield pa.RecordBatch.from_arrays([_column(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
     return sources.select("project", "path", "content", "language").mapInArrow(run, schema.PARSED)
 

@@ -145,8 +145,11 @@ def from_path(spark: SparkSession, path: str, project: str | None = None) -> Dat
 
     The driver lists paths only; the tasks read the files. A file that can't be read has null content.
     """
-    project = project or default_project_name(path)
-    listed = targets(path)
+    return from_paths(spark, targets(path), project or default_project_name(path))
+
+
+def from_paths(spark: SparkSession, listed: list[tuple[str, str]], project: str) -> DataFrame:
+    """Listed files (place, path in the project) as (project, path, content), read by the tasks."""
     paths = spark.createDataFrame([(project, r, a) for a, r in listed], "project string, path string, place string")
     if listed:
         paths = paths.repartition(min(len(listed), spark.sparkContext.defaultParallelism * 4))
