@@ -34,7 +34,9 @@ def text_tokens(docs: DataFrame, project=None) -> DataFrame:
     """Tokens of documents.text by the text adapter's pattern, without leaving the JVM."""
     words = F.expr(f"regexp_extract_all(text, '{_SPARK_PATTERN}', 0)")
     rows = docs.select((project if project is not None else F.lit("documents")).alias("project"), F.col("doc_id").cast("string").alias("path"), F.posexplode(words).alias("pos", "text"))
-    kind = F.when(F.col("text").rlike("^[A-Za-z_]"), "identifier").when(F.col("text").rlike("^[0-9]"), "literal").when(F.col("text").isin(*",;()[]{}"), "punctuation").otherwise("operator")
+    first = F.ascii("text")  # a token is known by its first sign
+    name = first.between(65, 90) | first.between(97, 122) | (first == 95)
+    kind = F.when(name, "identifier").when(first.between(48, 57), "literal").when(F.col("text").isin(*",;()[]{}"), "punctuation").otherwise("operator")
     return rows.withColumn("kind", kind)
 
 
