@@ -6,7 +6,6 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +45,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.n, self.kept = 0, []
+        self.n, self.tables = 0, []
         atexit.register(self.drop)
 
     def table(self, df: DataFrame, rows: int | None = None, few: bool = False) -> DataFrame:
@@ -62,14 +61,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
+        self.tables.append(out)
         return out
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """A step between tables that is read several times: kept by the executors, remade from the tables before if one is
-        lost. Not for loops, whose plans would grow."""
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.kept.append(df)
-        return df
+    def release(self, *but: DataFrame) -> None:
+        """Deletes all tables but those given: the rest of the plan reads only these."""
+        left = {x._scratch_path for x in but}
+        for x in self.tables:
+            if x._scratch_path not in left:
+                self.drop(x)
+        self.tables = [*but]
 
     def drop(self, df: DataFrame | None = None) -> None:
         """Deletes one table, or all of them."""

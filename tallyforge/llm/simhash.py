@@ -197,6 +197,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, cr
     roots = components(links_of(nodes, n, distance, crowd, scratch, width(docs)), scratch)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", "copies", F.coalesce("root", "fp").alias("root"))
     named = scratch.table(named, n)
+    scratch.release(rows, named)
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     named = attach(named.select("fp", "copies", "root"), ids, "root", n, "members").select("fp", "copies", "component_id")
     out = attach(rows, named, "fp", total, "copies")

@@ -112,7 +112,7 @@ def test_default_filter_is_near_and_beats_the_base(spark):
     want = {r[0]: r for r in brute(rows)}
     held = [r for r in got if r.held_out]
     assert held and all(r.score > r.base_score for r in held)
-    assert all(abs(r.score - want[r.doc_id][6]) < 0.08 * abs(r.score) for r in got)
+    assert all(abs(r.score - want[r.doc_id][6]) < 0.02 * abs(r.score) for r in got)
 
 
 def test_empty_table_and_no_training_rows(spark):

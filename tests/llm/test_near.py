@@ -120,3 +120,22 @@ def test_components(spark):
     table = spark.createDataFrame([*[(a, b, "x") for a, b in edges], (7, None, "x"), (None, 8, "x")], "a long, b long, root string")
     assert {r.node: r.root for r in connected(table, Scratch(spark)).collect()} == want
     assert connected(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from tallyforge.llm import common
+
+    told = {"spark.master": "spark://host:7077"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: told.get(k, d)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
+    told["spark.checkpoint.dir"] = "hdfs://host/x"
+    assert common.shared_dir(session) == "hdfs://host/x"
+    scratch = Scratch(spark)
+    a, b = scratch.table(spark.range(10)), scratch.table(spark.range(5), rows=5)
+    scratch.release(b)
+    assert b.count() == 5
+    with pytest.raises(Exception, match="not exist|NOT_EXIST|FAILED_READ"):
+        a.count()
