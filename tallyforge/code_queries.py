@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators import metrics, model, stats
-from .operators.parse import Facts, facts, parse
+from .operators.parse import Facts, facts, parse, with_language
 
 
 @dataclass
@@ -158,6 +158,18 @@ def code_status(spark, sf_dir):
     return parsed.groupBy("language", "status").agg(F.count(F.lit(1)).alias("n"), F.count_if(named).alias("with_place"))
 
 
+def code_errors(spark, sf_dir):
+    """Files by the language of their extension and by what came of them: some can't be read, aren't UTF-8 or don't parse;
+    files of an extension that no language has are left out."""
+    k = F.col("k")
+    rows = sources(_suppliers(spark, sf_dir), F.lit("p")).withColumn("k", F.regexp_extract("path", r"^(\d+)", 1).cast("bigint"))
+    content = F.when(k % 13 == 7, F.lit(None)).when(k % 17 == 3, F.concat(F.unhex(F.lit("FF")), F.col("content"))).otherwise(F.col("content"))
+    path = F.when(k % 19 == 4, F.concat(F.col("path"), F.lit(".txt"))).when(k % 23 == 6, F.concat("path", F.lit(".H"))).otherwise(F.col("path"))
+    parsed = parse(with_language(rows.select("project", path.alias("path"), content.alias("content"))))
+    why = F.when(F.col("error").contains("can't be read"), "unreadable").when(F.col("error").contains("not UTF-8"), "not UTF-8").when(F.col("error").contains("parse error"), "syntax").otherwise(F.col("error"))
+    return parsed.groupBy("language", "status", why.alias("why")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def code_long(spark, sf_dir):
     """The file scope in long form: of each metric how many files have a value, and how many why not."""
     long = metrics.to_long(metrics.by_file(_facts(spark, sf_dir)), "L", ["path"]).filter(F.col("metric").isin(*_LONG))
@@ -184,7 +196,7 @@ def code_labels(spark, sf_dir):
 
 _LONG = ["size.loc", "size.sloc", "size.comment_loc", "size.blank_loc", "size.comment_ratio", "size.token_count", "duplication.duplication_ratio", "derived.statements_per_function", "derived.tokens_per_loc", "derived.duplicate_tokens_per_sloc", "documentation.documentation_ratio"]
 
-QUERIES = {f.__name__: f for f in (code_functions, code_files, code_projects, code_status, code_long, code_language_medians, code_labels)}
+QUERIES = {f.__name__: f for f in (code_functions, code_files, code_projects, code_status, code_errors, code_long, code_language_medians, code_labels)}
 
 # Counted by hand from the programs above. Of each language: lines and code lines beside the branches, calls, leaves and
 # pads; lines of a branch, a leaf, a pad; tokens beside those; tokens of a branch, of a call with its leaf, of a pad; what
@@ -253,6 +265,9 @@ SELECT CAST(nation AS BIGINT) AS nation, {_doubles(_TOTALS)} FROM n""",
     "code_language_medians": f"{_SQL}, {_FILE} " + " UNION ALL ".join(_SUMMARY_SQL.format(m=m, c=c) for m, c in (("size_loc", "loc"), ("size_token_count", "tokens"))),
     "code_labels": """WITH s AS (SELECT s_suppkey % 11 = 5 AS bad, (s_suppkey // 8) % 3 AS c, s_suppkey % 5 = 0 AS padded FROM supplier), l AS (SELECT s.*, unnest(['root', 'leaf0', 'file']) AS label FROM s)
 SELECT label, CASE WHEN bad THEN 'no file' WHEN label = 'leaf0' AND c = 0 THEN 'no function' WHEN label = 'file' AND (c > 0 OR padded) THEN 'several functions' ELSE 'joined' END AS status, count(*) AS n FROM l GROUP BY ALL""",
+    "code_errors": f"""WITH {_VALUES}, s AS (SELECT s_suppkey AS k, s_suppkey % 8 AS lang FROM supplier WHERE s_suppkey % 19 <> 4 AND s_suppkey % 23 <> 6),
+w AS (SELECT language, CASE WHEN k % 13 = 7 THEN 'unreadable' WHEN k % 17 = 3 THEN 'not UTF-8' WHEN k % 11 = 5 THEN 'syntax' END AS why FROM s JOIN programs USING (lang))
+SELECT language, CASE WHEN why IS NULL THEN 'ok' ELSE 'error' END AS status, why, count(*) AS n FROM w GROUP BY ALL""",
     "code_status": f"""WITH {_VALUES}, s AS (SELECT s_suppkey % 8 AS lang, s_suppkey % 11 = 5 AS bad FROM supplier)
 SELECT language, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, count(*) AS n, count(*) FILTER (bad) AS with_place FROM s JOIN programs USING (lang) GROUP BY ALL""",
 }

@@ -24,7 +24,7 @@ def test_every_query_has_sql():
     assert queries.QUERIES.keys() == queries.ORACLE.keys()
 
 
-@pytest.mark.parametrize("name", ["code_functions", "code_files", "code_projects", "code_status", "code_labels", "dup_by_doc", "dup_project", "fan_in_parts", "js_metrics", "ridge_predict_quality"])
+@pytest.mark.parametrize("name", ["code_functions", "code_files", "code_projects", "code_status", "code_errors", "code_labels", "dup_by_doc", "dup_project", "fan_in_parts", "js_metrics", "ridge_predict_quality"])
 def test_equal_to_sql(spark, con, name):
     got = queries.QUERIES[name](spark, SMALL)
     columns = sorted(got.columns)
