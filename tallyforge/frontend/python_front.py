@@ -21,6 +21,33 @@ _STATEMENTS = {ast.Expr: "statement", ast.Pass: "statement", ast.Assert: "statem
 _EXPRESSIONS = {ast.Attribute: "expression", ast.Subscript: "expression", ast.BinOp: "binary", ast.Compare: "binary", ast.UnaryOp: "unary", ast.IfExp: "conditional", ast.Name: "identifier"}
 
 
+#: Syntax nodes that stand for a sign or a use, not for a piece of the source.
+_SIGNS = frozenset(x for base in (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop) for x in (base, *base.__subclasses__()))
+_STRINGS = (str, bytes)
+
+
+def _below(n) -> list:
+    """The syntax nodes right below one, in order."""
+    out = []
+    for name in n._fields:
+        x = getattr(n, name, None)
+        if isinstance(x, list):
+            out += [y for y in x if isinstance(y, ast.AST) and type(y) not in _SIGNS]
+        elif isinstance(x, ast.AST) and type(x) not in _SIGNS:
+            out.append(x)
+    return out
+
+
+def _every(tree) -> list:
+    """All syntax nodes of a tree."""
+    out, todo = [], [tree]
+    while todo:
+        n = todo.pop()
+        out.append(n)
+        todo += _below(n)
+    return out
+
+
 class _Reader:
     def __init__(self, text: str):
         self.lines = text.splitlines(keepends=True) if not any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029") else io.StringIO(text, newline="").readlines()
@@ -90,10 +117,12 @@ class _Reader:
         """The first token at or after an offset."""
         return bisect.bisect_left(self.order, offset)
 
-    def own_parens(self, tree) -> None:
+    def own_parens(self, nodes: list) -> None:
         """Notes which parentheses aren't around an expression."""
         self.order = [t.start for t in self.tokens]
-        for n in ast.walk(tree):
+        for n in nodes:
+            if type(n) in (ast.Name, ast.Constant, ast.Attribute):
+                continue
             if isinstance(n, ast.Call):
                 i = self.ends.get(self.span(n)[1])
                 if i in self.match:
@@ -173,6 +202,15 @@ class _Reader:
     def make(self, n) -> tuple[Node, list]:
         """(the node, [(syntax nodes below, list that takes their nodes)])."""
         kind = type(n)
+        if kind is ast.Name:
+            return Node("identifier", *self.span(n)), []
+        if kind is _Ready:
+            return n.node, [(n.kids, n.node.children)]
+        if kind is ast.Constant:
+            return self.node("other" if n.value is Ellipsis else "literal", n), []
+        if kind is ast.Attribute:
+            node = Node("expression", *self.span(n))
+            return node, [([n.value], node.children)]
         if isinstance(n, ast.Module):
             node = Node("other", 0, len(self.source))
             return node, [(n.body, node.children)]
@@ -274,18 +312,14 @@ class _Reader:
                 kids.append(_Ready(Node("loop", self.span(g.target)[0], self.span(g.iter)[1]), [g.target, g.iter]))
                 kids += [_Ready(Node("branch", *self.span(c)), [c]) for c in g.ifs]
             return node, [(kids, node.children)]
-        if isinstance(n, ast.Constant):
-            return self.node("other" if n.value is Ellipsis else "literal", n), []
         if isinstance(n, ast.JoinedStr):
             node = self.node("literal", n)
             return node, [([v for v in n.values if not isinstance(v, ast.Constant)], node.children)]
         if isinstance(n, ast.expr_context | ast.operator | ast.unaryop | ast.cmpop | ast.boolop):
             return Node("other", 0, 0), []
-        if isinstance(n, _Ready):
-            return n.node, [(n.kids, n.node.children)]
         place = self.span(n) if hasattr(n, "lineno") else (0, 0)
         node = Node(_EXPRESSIONS.get(kind, "other"), *place)
-        return node, [([c for c in ast.iter_child_nodes(n) if not isinstance(c, (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop, ast.alias))], node.children)]
+        return node, [([c for c in _below(n) if type(c) is not ast.alias], node.children)]
 
     def _chain(self, order, rest, inner):
         below = []
@@ -361,9 +395,10 @@ def parse(source: bytes) -> tuple[Node, list[Token]]:
     r = _Reader(text)
     r.source = source
     r.tokenize(text)
-    r.own_parens(tree)
+    nodes = _every(tree)
+    r.own_parens(nodes)
     # neighbouring strings are one literal
-    r.joined = {r.span(n) for n in ast.walk(tree) if isinstance(n, (ast.Constant, ast.JoinedStr)) and (isinstance(n, ast.JoinedStr) or isinstance(n.value, (str, bytes))) and _several(r, n)}
+    r.joined = {r.span(n) for n in nodes if (type(n) is ast.JoinedStr or (type(n) is ast.Constant and isinstance(n.value, _STRINGS))) and _several(r, n)}
     root = r.run(tree)
     tokens: list[Token] = []
     for t in r.tokens:
