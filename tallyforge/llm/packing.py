@@ -4,8 +4,7 @@ Documents are encoded and cut into pieces of at most `limit` tokens. The histogr
 bins, whatever the corpus; the driver runs best-fit decreasing on these counts, moving whole runs of equal sequences at a
 time, and writes the plan as runs: pieces of length L with ranks a..b take sequences from s at offset o. Pieces take
 their planned places by a join on (length, rank). Ranks are dealt within salted parts of a length and shifted by the
-parts before; there are as many parts as hold the commonest length to `part_rows` rows each, so a length that most pieces
-share isn't one task.
+parts before; a length has as many parts as it has `part_rows` rows, so one that most pieces share isn't one task.
 
 Encoding uses the vocabulary's ranks in a faster library than the one the file is made for; both apply the same merges
 to the matches of the same pattern, and tests hold their ids against each other.
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import USUAL, spans
 from .common import Scratch, read, text_of
 
-LIMIT, END, PART_ROWS = 1024, 2, 200_000
+LIMIT, END, PART_ROWS = 1024, 2, 20_000
 #: Spans that a worker remembers the ids of.
 REMEMBER = 400_000
 
@@ -177,8 +176,8 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, wi
     made = pieces(docs, tokenizer, limit, end, with_ids, id_col, text_col)
     rows = scratch.table(made.withColumn("no", F.monotonically_increasing_id()))  # fixes the number; what follows may run again
     counts = {r[0]: r[1] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= limit rows
-    salts = max(1, -(-max(counts.values(), default=1) // part_rows))  # so a part of a length has about part_rows rows at most
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("no"), F.lit(salts)))
+    salts = F.from_json(F.lit(json.dumps([-(-counts.get(n, 1) // part_rows) for n in range(limit + 1)])), "array<int>")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("no"), salts[F.col("length").cast("int")]))
     parts = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     runs = json.dumps([dict(zip(("l", "lo", "hi", "s", "o"), r, strict=True)) for r in plan(counts, limit)])
     table = spark.range(1).select(F.inline(F.from_json(F.lit(runs), "array<struct<l:bigint,lo:bigint,hi:bigint,s:bigint,o:bigint>>")).alias("l", "lo", "hi", "s", "o"))
