@@ -12,52 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registry
+from ..functions.columns import DECISIONS, EXPRESSIONS, NESTING, STATEMENTS, cognitive_increment, halstead, is_kind, is_operand, is_operator, maintainability, n_if, ratio
 from . import duplication
 from .parse import Facts
 
 PROJECT, FILE, FUNCTION = ["project"], ["project", "path"], ["project", "path", "fn_id"]
 
-#: Node kinds by what they count as.
-STATEMENTS = ["statement", "declaration", "branch", "loop", "return", "jump"]
-DECISIONS = ["branch", "loop", "case", "catch", "logical", "conditional"]
-NESTING = ["branch", "loop", "case", "catch"]
-EXPRESSIONS = ["expression", "call", "assignment", "binary", "logical", "conditional", "unary"]
-
-
-def n_if(cond: Column) -> Column:
-    return F.count_if(cond).cast("double")
-
-
-def is_kind(*kinds: str) -> Column:
-    return F.col("kind").isin(*kinds)
-
-
-def is_operator() -> Column:
-    return F.col("kind").isin("keyword", "operator") | ((F.col("kind") == "punctuation") & F.col("text").isin("(", "[", "{"))
-
-
-def is_operand() -> Column:
-    return F.col("kind").isin("identifier", "literal")
-
-
-def ratio(a: Column | str, b: Column | str) -> Column:
-    """a / b; null where b is 0 or either is null."""
-    return F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
-
-
-def cognitive_increment(name: Column) -> Column:
-    """What a node adds; name: that of the function it belongs to."""
-    nested = F.col("cog_level") + 1
-    return (
-        F.when(is_kind("branch") & F.col("is_continuation"), 1)
-        .when(is_kind("branch", "loop", "catch", "conditional"), nested)
-        .when(is_kind("else"), F.when(F.col("wraps_continuation"), 0).otherwise(1))
-        .when(is_kind("case"), F.when(F.col("prev_kind").eqNullSafe("case"), 0).otherwise(nested))
-        .when(is_kind("logical"), F.when((F.col("parent_kind") == "logical") & F.col("parent_label").eqNullSafe(F.col("label")), 0).otherwise(1))
-        .when(is_kind("call"), F.when(F.col("label") == name, 1).otherwise(0))
-        .otherwise(0)
-    )
-
 
 def _node_aggregates() -> list[Column]:
     depth = F.when(is_kind(*NESTING) & ~F.col("is_continuation"), F.col("level") + 1)
@@ -102,19 +62,6 @@ def nodes_by_file(f: Facts) -> DataFrame:
     return _with_cognitive(f).groupBy(*FILE).agg(*_node_aggregates()).withColumn("size_statement_count", F.col("own_statements"))
 
 
-def halstead(n1: Column, n2: Column, t1: Column, t2: Column) -> dict[str, Column]:
-    """The derived Halstead measures from counts of operators and operands, distinct and total."""
-    vocabulary, length = n1 + n2, t1 + t2
-    volume = F.when(vocabulary > 0, length * F.log2(vocabulary))
-    difficulty = F.when(n2 > 0, n1 / F.lit(2.0) * F.try_divide(t2, n2))
-    effort = difficulty * volume
-    return {
-        "halstead_unique_operators": n1, "halstead_unique_operands": n2, "halstead_total_operators": t1, "halstead_total_operands": t2,
-        "halstead_vocabulary": vocabulary, "halstead_length": length, "halstead_volume": volume, "halstead_difficulty": difficulty,
-        "halstead_effort": effort, "halstead_time": effort / 18.0, "halstead_bugs": volume / 3000.0,
-    }
-
-
 def token_texts(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """keys, role, text, n: how often each text occurs in a role."""
     role = F.when(is_operator(), "operator").when(is_operand(), "operand").alias("role")
@@ -320,10 +267,6 @@ def _halstead(df: DataFrame) -> DataFrame:
     return df.withColumns(halstead(F.col("n1"), F.col("n2"), F.col("t1"), F.col("t2"))).drop("n1", "n2", "t1", "t2")
 
 
-def maintainability(volume: Column, cyclomatic: Column, sloc: Column) -> Column:
-    return F.when((volume > 0) & (sloc > 0), F.lit(171.0) - F.lit(5.2) * F.log(volume) - F.lit(0.23) * cyclomatic - F.lit(16.2) * F.log(sloc))
-
-
 def by_function(f: Facts) -> DataFrame:
     """Every F metric of every function, with its name, lines and errors."""
     out = function_rows(f)
