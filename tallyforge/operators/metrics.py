@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registry
-from ..functions.columns import DECISIONS, EXPRESSIONS, NESTING, STATEMENTS, cognitive_increment, halstead, is_kind, is_operand, is_operator, maintainability, n_if, ratio
+from ..functions.columns import DECISIONS, EXPRESSIONS, NESTING, STATEMENTS, cognitive_increment, count_texts, halstead, is_kind, is_operand, is_operator, maintainability, n_if, ratio
 from . import duplication
 from .parse import Facts
 
@@ -70,11 +70,7 @@ def token_texts(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
 def _tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """token_count and the counts behind Halstead, by keys. Texts are counted first, so distinct ones need no second shuffle of tokens."""
-    return _of_texts(token_texts(tokens, keys), keys)
-
-
-def _of_texts(texts: DataFrame, keys: list[str]) -> DataFrame:
-    return texts.groupBy(*keys).agg(
+    return token_texts(tokens, keys).groupBy(*keys).agg(
         F.sum("n").cast("double").alias("size_token_count"),
         n_if(F.col("role") == "operator").alias("n1"),
         n_if(F.col("role") == "operand").alias("n2"),
@@ -88,13 +84,14 @@ def tokens_by_function(f: Facts) -> DataFrame:
 
 
 def tokens_by_file(f: Facts) -> DataFrame:
-    return _tokens(f.tokens, FILE) if f.texts is None else _of_texts(f.texts, FILE)
+    if f.arrays is None:
+        return _tokens(f.tokens, FILE)
+    own = f.arrays.filter(F.size("tokens") > 0)
+    return count_texts(own, FILE, F.col("tokens"), lambda x: is_operator(x["kind"], x["text"]), lambda x: is_operand(x["kind"]), lambda x: x["text"])
 
 
 def tokens_by_project(f: Facts) -> DataFrame:
-    if f.texts is None:
-        return _tokens(f.tokens, PROJECT)
-    return _of_texts(f.texts.groupBy(*PROJECT, "role", "text").agg(F.sum("n").alias("n")), PROJECT)
+    return _tokens(f.tokens, PROJECT)
 
 
 def line_rows(f: Facts) -> DataFrame:

@@ -78,8 +78,8 @@ class Facts:
     functions: DataFrame
     lines: DataFrame | None = None  # what metrics.line_rows() gives, where it is kept
     codes: DataFrame | None = None  # what duplication.codes() gives, where it needs no shuffle
+    arrays: DataFrame | None = None  # project, path, tokens: the code tokens of a file as one array, where there are such
     sums: DataFrame | None = None  # what metrics.file_sums() gives, where it is kept
-    texts: DataFrame | None = None  # what metrics.token_texts() gives, where it is kept
 
     def coded(self) -> DataFrame:
         return duplication.codes(self.tokens) if self.codes is None else self.codes
@@ -95,4 +95,4 @@ def facts(parsed: DataFrame) -> Facts:
     coded = ok.select("project", "path", F.transform(code, lambda x: F.xxhash64(duplication.normalised(x["kind"], x["text"]))).alias("codes"))
     owner = F.element_at("functions", F.col("x.owner_fn") + 1)["name"]  # a function's number is its place
     nodes = ok.select("project", "path", "functions", F.explode("nodes").alias("x")).select("project", "path", "x.*", owner.alias("owner_name"))
-    return Facts(ok.select("project", "path", "language", "content"), nodes, rows("tokens"), rows("functions"), codes=coded)
+    return Facts(ok.select("project", "path", "language", "content"), nodes, rows("tokens"), rows("functions"), codes=coded, arrays=ok.select("project", "path", code.alias("tokens")))

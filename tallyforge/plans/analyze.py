@@ -63,12 +63,11 @@ class Result:
 
 
 def from_facts(f: Facts, parsed: DataFrame, projects: DataFrame | None = None, info: dict | None = None, keep: bool = True, kept: list[DataFrame] | None = None) -> Result:
-    """kept: what the result shall release. keep: what several scopes read (lines, counted texts and the sums of files) is kept in the session's storage."""
+    """kept: what the result shall release. keep: what several scopes read (lines and the sums of files) is kept in the session's storage."""
     if keep:
         f.lines = metrics.line_rows(f).persist()
-        f.texts = metrics.token_texts(f.tokens, metrics.FILE).persist()
         f.sums = metrics.file_sums(f).persist()
-    own = [x for x in (*(kept or []), f.lines, f.texts, f.sums) if x is not None]
+    own = [x for x in (*(kept or []), f.lines, f.sums) if x is not None]
     return Result(parsed.select("project", "path", "language", "status", "error"), metrics.by_function(f), metrics.by_file(f), metrics.by_project(f, projects), info or {}, own)
 
 

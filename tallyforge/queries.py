@@ -7,7 +7,7 @@ tree operators run over 20 rows written out on both sides. code_queries has thos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frontend.text_front import PATTERN
@@ -30,13 +30,25 @@ def _whole(c, alias: str):
     return (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(alias)
 
 
+def _is_name(token: Column) -> Column:
+    """A token is known by its first sign."""
+    first = F.ascii(token)
+    return first.between(65, 90) | first.between(97, 122) | (first == 95)
+
+
+def _is_number(token: Column) -> Column:
+    return F.ascii(token).between(48, 57)
+
+
+def _is_word(token: Column) -> Column:
+    return _is_name(token) | _is_number(token)
+
+
 def text_tokens(docs: DataFrame, project=None) -> DataFrame:
     """Tokens of documents.text by the text adapter's pattern, without leaving the JVM."""
     words = F.expr(f"regexp_extract_all(text, '{_SPARK_PATTERN}', 0)")
     rows = docs.select((project if project is not None else F.lit("documents")).alias("project"), F.col("doc_id").cast("string").alias("path"), F.posexplode(words).alias("pos", "text"))
-    first = F.ascii("text")  # a token is known by its first sign
-    name = first.between(65, 90) | first.between(97, 122) | (first == 95)
-    kind = F.when(name, "identifier").when(first.between(48, 57), "literal").when(F.col("text").isin(*",;()[]{}"), "punctuation").otherwise("operator")
+    kind = F.when(_is_name(F.col("text")), "identifier").when(_is_number(F.col("text")), "literal").when(F.col("text").isin(*",;()[]{}"), "punctuation").otherwise("operator")
     return rows.withColumn("kind", kind)
 
 
@@ -120,8 +132,9 @@ def _with_all(docs: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def halstead_by_doc(spark, sf_dir):
-    tokens = text_tokens(_table(spark, sf_dir, "documents"))
-    return metrics._tokens(tokens, ["path"]).select(F.col("path").cast("bigint").alias("doc_id"), *_halstead_columns())
+    words = F.expr(f"regexp_extract_all(text, '{_SPARK_PATTERN}', 0)")
+    counted = metrics.count_texts(_table(spark, sf_dir, "documents"), ["doc_id"], words, lambda w: ~_is_word(w) & ~w.isin(*",;)]}"), _is_word)
+    return counted.filter("size_token_count > 0").select("doc_id", *_halstead_columns())
 
 
 def halstead_by_source(spark, sf_dir):
