@@ -22,6 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, text of documents; a table of fewer partitions than there are threads is dealt out before its texts
+    are taken apart."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    threads = spark.sparkContext.defaultParallelism
+    return docs.repartition(threads) if docs.rdd.getNumPartitions() < threads else docs
+
+
 def _r(c, alias: str):
     return F.round(c if not isinstance(c, str) else F.col(c), 6).alias(alias)
 
@@ -133,17 +141,17 @@ def _with_all(docs: DataFrame, counted: DataFrame) -> DataFrame:
 
 def halstead_by_doc(spark, sf_dir):
     words = F.expr(f"regexp_extract_all(text, '{_SPARK_PATTERN}', 0)")
-    counted = metrics.count_texts(_table(spark, sf_dir, "documents"), ["doc_id"], words, lambda w: ~_is_word(w) & ~w.isin(*",;)]}"), _is_word)
+    counted = metrics.count_texts(_texts(spark, sf_dir), ["doc_id"], words, lambda w: ~_is_word(w) & ~w.isin(*",;)]}"), _is_word)
     return counted.filter("size_token_count > 0").select("doc_id", *_halstead_columns())
 
 
 def halstead_by_source(spark, sf_dir):
-    tokens = text_tokens(_table(spark, sf_dir, "documents"), F.col("source"))
+    tokens = text_tokens(_texts(spark, sf_dir), F.col("source"))
     return metrics._tokens(tokens, ["project"]).select(F.col("project").alias("source"), *_halstead_columns())
 
 
 def halstead_project(spark, sf_dir):
-    return metrics._tokens(text_tokens(_table(spark, sf_dir, "documents")), ["project"]).select(*_halstead_columns())
+    return metrics._tokens(text_tokens(_texts(spark, sf_dir)), ["project"]).select(*_halstead_columns())
 
 
 def derived_mi_by_doc(spark, sf_dir):
@@ -161,12 +169,12 @@ def derived_tokens_per_loc(spark, sf_dir):
 
 def dup_by_doc(spark, sf_dir):
     """duplicate tokens, blocks and longest run of documents that have any."""
-    d = duplication.by_file(text_codes(_table(spark, sf_dir, "documents")))
+    d = duplication.by_file(text_codes(_texts(spark, sf_dir)))
     return d.select(F.col("path").cast("bigint").alias("doc_id"), _whole("duplication_duplicate_token_count", "tokens"), _whole("duplication_duplicate_block_count", "blocks"), _whole("duplication_max_duplicate_length", "longest"))
 
 
 def dup_project(spark, sf_dir):
-    d = duplication.by_project(text_codes(_table(spark, sf_dir, "documents"), F.col("source")))
+    d = duplication.by_project(text_codes(_texts(spark, sf_dir), F.col("source")))
     return d.select(F.col("project").alias("source"), _whole("duplication_duplicate_token_count", "tokens"), _whole("duplication_duplicate_block_count", "blocks"), _whole("duplication_max_duplicate_length", "longest"))
 
 
