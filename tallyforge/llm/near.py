@@ -9,14 +9,17 @@ words the empty set. Equal sets are one node from the start. Candidates are
    bits, which no choice of blocks finds; two texts of that similarity share a min-hash key with probability
    1 - (1 - 0.8**ROWS)**BANDS = 0.9998.
 
-A link always comes from a check of the whole sets. Within a min-hash key each node is compared with the `window` nodes
-before it, in an order that is another for each band. These comparisons are of sketches, a byte of each of the 64
-min-hashes; of a pair of similarity 0.8 fewer than AGREE agree with probability 3e-4. First the whole sets of each node and
-the one most like it by sketch are checked, one pair a node and key. Where that leaves nodes of a key in different
-components, all their pairs that agree in AGREE bytes are compared once more, by the LOW least hashes of either set: that
-is exact for sets of up to LOW shingles and misses one of larger ones with probability 3e-6. So what reaches the check grows
-with the links, not with the square of a key. Known limit: in a key of more than window + 1 nodes, a pair that nothing has
-linked and that stands further apart than `window` is looked at only if another band's order brings it together.
+A link always comes from a check of the whole sets. First, within a min-hash key, each node is compared with the `window`
+nodes before it, in an order that is another for each band. These comparisons are of sketches, a byte of each of the 64
+min-hashes; of a pair of similarity 0.8 fewer than AGREE agree with probability 3e-4. The whole sets of each node and the
+one most like it by sketch are checked, one pair a node and key. Where that leaves nodes of a key in different components,
+
+- all pairs of a key of up to window + 1 nodes that agree in AGREE bytes are compared once more, by the LOW least hashes of
+  either set: that is exact for sets of up to LOW shingles and misses one of larger ones with probability 3e-6. So what
+  reaches the check grows with the links, not with the square of a key;
+- the nodes of wider keys are joined by the rarest shingles of their sets (_by_prefix), which loses no pair, whatever the
+  key's width: nodes meet only in shingles that are rare for both. A shingle that many nodes have among their rarest is
+  cut into blocks that other tasks compare; only there the work may grow with the square of the nodes.
 
 Nulls: a null text is empty; all empty texts are one node. A null id has a component as any other row; the component's id is
 the least that isn't null. Repeated rows each give a row. Empty table: empty result. Other columns are ignored.
@@ -35,6 +38,8 @@ from .common import Scratch, attach, only, text_of, width
 from .components import components
 
 WORDS, SIMILARITY, BANDS, ROWS, WINDOW, AGREE, LOW = 5, 0.8, 16, 4, 1024, 40, 256
+#: Buckets of shingles whose sets are counted; nodes of a shingle that a task compares with as many; bits of a set's bitmap.
+BUCKETS, BLOCK, BITS = 1 << 19, 4096, 512
 _MULTIPLY = np.random.default_rng(17).integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(18).integers(0, 2**63, (BANDS * ROWS, 1), np.uint64)
 _SLICE = 1 << 12
@@ -168,9 +173,110 @@ def _in_windows(keyed: DataFrame, window: int, similar: float, best: bool, parts
     return keyed.mapInArrow(run, "a long, b long")
 
 
+def _held(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each bucket."""
+
+    def run(batches):
+        n = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(n, np.frombuffer(x.as_buffer(), np.uint64) % BUCKETS, 1)
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n[own], pa.int64())], ["bucket", "n"])
+
+    held = sets.select("found").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(BUCKETS, np.int64)
+    n[held["bucket"].to_numpy()] = held["n"].to_numpy()
+    return n
+
+
+def bitmap(found: np.ndarray) -> bytes:
+    """For each of BITS bits whether an odd number of shingles falls on it: sets whose bitmaps differ in d bits differ in at
+    least d shingles."""
+    return np.packbits(np.bincount((found >> np.uint64(40)) % BITS, minlength=BITS) & 1).tobytes()
+
+
+def _by_prefix(sets: DataFrame, similar: float, scratch: Scratch, parts: int) -> DataFrame:
+    """a, b: all pairs of nodes under different roots whose sets are so similar, and some that are less. sets: node, root, found.
+
+    With its shingles in one order for all sets, rarest first, a set of n shares one of its first n - ceil(similar * n) + 1
+    with any set so similar. From the first that a pair shares on, both must have enough left for the overlap it needs.
+    The order is by the count of a shingle's bucket, then by hash; a coarse count costs time and no pair. Bitmaps then rule
+    out pairs that differ in too many shingles; that loses none either."""
+    sent = sets.sparkSession.sparkContext.broadcast(_held(sets))
+    share, block = similar / (1 + similar), BLOCK
+
+    def rarest(batches):
+        for b in batches:
+            node, root = b.column(0).to_numpy(), b.column(1).to_numpy()
+            rows, size = [], 0
+            for k, x in enumerate(b.column(2)):
+                found = np.frombuffer(x.as_buffer(), np.uint64)
+                n, held = len(found), sent.value[found % BUCKETS]
+                first = np.argsort(held, kind="stable")[: n - int(np.ceil(similar * n - 1e-9)) + 1]
+                left = n - np.arange(len(first))
+                own = held[first] > 1  # a shingle alone in its bucket is in no other set
+                rows.append((found[first[own]].view(np.int64), np.full(own.sum(), node[k]), np.full(own.sum(), root[k]), np.full(own.sum(), n), left[own]))
+                size += own.sum()
+                if size > 1 << 16 or k == len(b) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], ["h", "node", "root", "size", "left"])
+                    rows, size = [], 0
+
+    def bits(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(np.frombuffer(x.as_buffer(), np.uint64)) for x in b.column(1)], pa.binary())], ["node", "bits"])
+
+    def compared(cols):
+        """Pairs within the groups (h, cell) of rows in order, some at a time."""
+        h, cell, side, node, root, size, left, bit = cols
+        end = np.append(np.flatnonzero((h[1:] != h[:-1]) | (cell[1:] != cell[:-1])) + 1, len(h))
+        end = np.repeat(end, np.diff(end, prepend=0))
+        within = cell // (1 << 31) == cell % (1 << 31)  # else only the pairs of two blocks
+        found, many, d, i = [], 0, 1, np.arange(len(h))
+        while len(i := i[end[i] - i > d]):
+            j = i + d
+            need = share * (size[i] + size[j]) - 1e-6
+            may = (root[i] != root[j]) & (within[i] | (side[i] != side[j])) & (np.minimum(left[i], left[j]) >= need)
+            x, y = i[may], j[may]
+            fit = np.bitwise_count(bit[x] ^ bit[y]).sum(axis=1) <= size[x] + size[y] - 2 * need[may]
+            found.append(np.stack([np.minimum(node[x[fit]], node[y[fit]]), np.maximum(node[x[fit]], node[y[fit]])]))
+            many += fit.sum()
+            if many > 1 << 18:
+                yield np.unique(np.concatenate(found, axis=1), axis=1)
+                found, many = [], 0
+            d += 1
+        yield np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
+
+    def run(batches):
+        held = None
+        for rb in batches:
+            if not len(rb):
+                continue
+            cols = [c.to_numpy() for c in rb.columns[:7]]
+            cols.append(np.frombuffer(b"".join(rb.column(7).to_pylist()), np.uint64).reshape(-1, BITS // 64))
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            last = int(np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])).max(initial=-1)) + 1
+            held = [c[last:] for c in cols]  # may go on in the next batch
+            for pairs in compared([c[:last] for c in cols]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+        for pairs in compared(held) if held else ():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+
+    rare = scratch.table(sets.select("node", "root", "found").mapInArrow(rarest, "h long, node long, root long, size int, left int"))
+    seen = rare.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("n > 1 AND low <> high")
+    rare = attach(rare, seen.select("h", "n"), "h", rare.count(), "n").filter("n IS NOT NULL")
+    rare = rare.withColumn("cuts", F.ceil(F.col("n") / block)).withColumn("side", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    rare = rare.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    cell = F.shiftleft(F.least("side", "other"), 31) + F.greatest("side", "other")
+    rare = rare.select("h", cell.alias("cell"), "side", "node", "root", "size", "left")
+    rare = rare.join(sets.select("node", "found").mapInArrow(bits, "node long, bits binary"), "node").select("h", "cell", "side", "node", "root", "size", "left", "bits")
+    return rare.repartition(parts, "h", "cell").sortWithinPartitions("h", "cell").mapInArrow(run, "a long, b long")
+
+
 def _sets(needed: DataFrame, rows: DataFrame, docs: DataFrame, words: int, text_col: str, scratch: Scratch) -> DataFrame:
-    """node, n, found (the whole set), low (its LOW least hashes, their upper halves) of the nodes needed (node, n)."""
-    places = needed.join(rows.groupBy("node").agg(F.min("place").alias("place")), "node").select("node", "n", "place")
+    """node, root, found (the whole set), low (its LOW least hashes, their upper halves) of the nodes needed (node, root)."""
+    places = needed.join(rows.groupBy("node").agg(F.min("place").alias("place")), "node").select("node", "root", "place")
 
     def of(batches):
         for b in batches:
@@ -182,12 +288,12 @@ def _sets(needed: DataFrame, rows: DataFrame, docs: DataFrame, words: int, text_
                 size += len(found[-1])
                 if size > 4 << 20 or k == len(b) - 1:  # bounds what a batch holds
                     part = b.slice(lo, len(found))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary()), pa.array(low, pa.binary())], ["node", "n", "found", "low"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary()), pa.array(low, pa.binary())], ["node", "root", "found", "low"])
                     lo, found, low, size = k + 1, [], [], 0
 
     texts = docs.select(text_of(text_col).alias("text"), place_of(text_col).alias("place"))
-    texts = texts.join(places, "place").dropDuplicates(["place"]).select("node", "n", "text")
-    return scratch.table(texts.mapInArrow(of, "node long, n long, found binary, low binary"))
+    texts = texts.join(places, "place").dropDuplicates(["place"]).select("node", "root", "text")
+    return scratch.table(texts.mapInArrow(of, "node long, root long, found binary, low binary"))
 
 
 def _pairs(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -233,13 +339,17 @@ def _named(docs: DataFrame, scratch: Scratch, words: int, similar: float, window
     whole = nodes.select("node", "size", "sketch")
     rooted = keyed.join(whole.withColumn("root", F.col("node")), "node")
     pairs = _pairs(by_print.unionByName(alike).unionByName(_in_windows(rooted, window, similar, True, width(docs))), scratch)
-    links = _similar(pairs, _sets(_ends(pairs), rows, docs, words, text_col, scratch), similar, scratch)
+    links = _similar(pairs, _sets(_ends(pairs).select("node", F.lit(None).cast("long").alias("root")), rows, docs, words, text_col, scratch), similar, scratch)
     roots = components(links, scratch)
     rooted = keyed.join(whole.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "node")
-    mixed = rooted.groupBy("t", "v").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("t", "v")
-    rooted = scratch.table(rooted.join(mixed, ["t", "v"], "left_semi"), few=True)
-    sets = _sets(rooted.groupBy("node").agg(F.count(F.lit(1)).alias("n")), rows, docs, words, text_col, scratch)
-    pairs = _pairs(_in_windows(rooted.join(sets.select("node", "low"), "node"), window, similar, False, width(docs)), scratch)
+    mixed = rooted.groupBy("t", "v").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count(F.lit(1)) > window + 1).alias("wide")).filter("low <> high").select("t", "v", "wide")
+    rooted = scratch.table(rooted.join(mixed, ["t", "v"]), few=True)
+    sets = _sets(rooted.groupBy("node").agg(F.max(F.when(F.col("wide"), F.col("root"))).alias("root")), rows, docs, words, text_col, scratch)
+    pairs = _in_windows(rooted.filter("NOT wide").join(sets.select("node", "low"), "node"), window, similar, False, width(docs))
+    wide = sets.filter("root IS NOT NULL")
+    if not wide.isEmpty():
+        pairs = pairs.unionByName(_by_prefix(wide, similar, scratch, width(docs)))
+    pairs = _pairs(pairs, scratch)
     links = links.unionByName(_similar(pairs, sets, similar, scratch))
     roots = components(links, scratch)
     named = nodes.join(roots, "node", "left").select("node", "least_id", "copies", F.coalesce("root", "node").alias("root"))

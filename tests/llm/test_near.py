@@ -65,6 +65,44 @@ def test_crowded_keys(spark):
     assert got == components(rows)
 
 
+def template(n, seed=7, words=165, changed=3):
+    """One template with a few words of each text's own: most pairs share a min-hash key, few are similar."""
+    rnd, rows = random.Random(seed), []
+    base = [f"w{i}" for i in range(words)]
+    for k in range(n):
+        copy = list(base)
+        for i, at in enumerate(rnd.sample(range(words), changed)):
+            copy[at] = f"own{k}x{i}"
+        rows.append((k, " ".join(copy)))
+    return rows
+
+
+def test_keys_wider_than_the_window(spark, monkeypatch):
+    """Pairs of a key that stand further apart than the window are found as well, also where a shingle's rows are cut up."""
+    monkeypatch.setattr(near, "BLOCK", 16, raising=False)
+    rows = template(240)
+    want = components(rows)
+    assert 30 < len({c for _, c in want}) < 210  # links between few of the pairs
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, near.near_dedup(docs, window=2).collect()), key=repr) == want
+
+
+def test_prefixes_lose_no_pair(spark, monkeypatch):
+    """Every similar pair under different roots is proposed, whatever the sizes of its sets."""
+    rnd, monkey = random.Random(2), monkeypatch.setattr
+    monkey(near, "BUCKETS", 64)  # shingles that share a bucket change the order, not the result
+    sets = []
+    for k in range(300):
+        own = set(rnd.sample(range(40), rnd.randint(1, 12))) if k % 3 or not k else {x for x in sets[-1] if rnd.random() > 0.1} | {rnd.randrange(40)}
+        sets.append(own)
+    rows = [(k, k % 5, near.np.sort(near.np.array([hash((x, 3)) % 2**63 for x in s], near.np.uint64)).tobytes()) for k, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "node long, root long, found binary").repartition(3)
+    for similar in (0.6, 0.8):
+        want = {(a, b) for b in range(300) for a in range(b) if a % 5 != b % 5 and len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])}
+        got = {tuple(sorted(r)) for r in near._by_prefix(table, similar, Scratch(spark), 4).collect()}
+        assert want <= got and all(a % 5 != b % 5 for a, b in got) and len(want) > 20
+
+
 def test_stage_drops_near_copies(spark, tmp_path):
     """Pairs of similarity 0.8 and more go, whatever their fingerprints' distance."""
     rows = corpus(3, groups=40, copies=2)[:-1]
