@@ -227,10 +227,12 @@ def _by_prefix(sets: DataFrame, similar: float, scratch: Scratch, parts: int) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(np.frombuffer(x.as_buffer(), np.uint64)) for x in b.column(1)], pa.binary())], ["node", "bits"])
 
     def compared(cols):
-        """Pairs within the groups (h, cell) of rows in order, some at a time."""
+        """Pairs within the groups (h, cell) of rows in order, some at a time. Within a group left - share * size falls, so
+        what a row can be paired with ends where that falls below share * its size."""
         h, cell, side, node, root, size, left, bit = cols
         end = np.append(np.flatnonzero((h[1:] != h[:-1]) | (cell[1:] != cell[:-1])) + 1, len(h))
-        end = np.repeat(end, np.diff(end, prepend=0))
+        group = np.repeat(np.arange(len(end)), np.diff(end, prepend=0)) * 2.0**30
+        end = np.minimum(np.repeat(end, np.diff(end, prepend=0)), np.searchsorted(group - (left - share * size), group - share * size + 0.1, side="right"))
         within = cell // (1 << 31) == cell % (1 << 31)  # else only the pairs of two blocks
         found, many, d, i = [], 0, 1, np.arange(len(h))
         while len(i := i[end[i] - i > d]):
@@ -271,7 +273,7 @@ def _by_prefix(sets: DataFrame, similar: float, scratch: Scratch, parts: int) ->
     cell = F.shiftleft(F.least("side", "other"), 31) + F.greatest("side", "other")
     rare = rare.select("h", cell.alias("cell"), "side", "node", "root", "size", "left")
     rare = rare.join(sets.select("node", "found").mapInArrow(bits, "node long, bits binary"), "node").select("h", "cell", "side", "node", "root", "size", "left", "bits")
-    return rare.repartition(parts, "h", "cell").sortWithinPartitions("h", "cell").mapInArrow(run, "a long, b long")
+    return rare.repartition(parts, "h", "cell").sortWithinPartitions("h", "cell", F.col("size") * share - F.col("left")).mapInArrow(run, "a long, b long")
 
 
 def _sets(needed: DataFrame, rows: DataFrame, docs: DataFrame, words: int, text_col: str, scratch: Scratch) -> DataFrame:
